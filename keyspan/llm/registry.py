@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from keyspan.llm import near_dup
+from keyspan.llm import near_dup, sharding, url_filter, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (near_dup.op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in (sharding.op5_feistel_sharding, url_filter.op6_bloom_cascade_url_filter, near_dup.op7_minhash_near_dedup, warc.op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_bloom_cascade_url_filter": url_filter.OP6_SQL, "op10_warc_round_trip": warc.OP10_SQL}
