@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from keyspan.llm import near_dup, sharding, url_filter, warc
+from keyspan.llm import mixing, near_dup, sharding, url_filter, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (sharding.op5_feistel_sharding, url_filter.op6_bloom_cascade_url_filter, near_dup.op7_minhash_near_dedup, warc.op10_warc_round_trip)}
+    return {f.__name__: f for f in (sharding.op5_feistel_sharding, url_filter.op6_bloom_cascade_url_filter, near_dup.op7_minhash_near_dedup, mixing.op9_temperature_mixing, warc.op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict:
