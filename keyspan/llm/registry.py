@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from keyspan.llm import language_id, mixing, near_dup, sharding, url_filter, warc
+from keyspan.llm import language_id, mixing, near_dup, sharding, url_filter, vector_dup, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (language_id.op3_string_kernel_language_id, sharding.op5_feistel_sharding, url_filter.op6_bloom_cascade_url_filter, near_dup.op7_minhash_near_dedup, mixing.op9_temperature_mixing, warc.op10_warc_round_trip)}
+    return {f.__name__: f for f in (vector_dup.op1_cover_tree_vector_dedup, language_id.op3_string_kernel_language_id, sharding.op5_feistel_sharding, url_filter.op6_bloom_cascade_url_filter, near_dup.op7_minhash_near_dedup, mixing.op9_temperature_mixing, warc.op10_warc_round_trip)}
 
 
 def oracle_sql() -> dict:
