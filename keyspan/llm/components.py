@@ -8,6 +8,7 @@ gathered in one place.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +43,15 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return label.select("node", F.col("root").alias("component"))
         up = _roots(spark, both).select(F.col("node").alias("root"), F.col("root").alias("next"))
         label = stage(spark, label.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+
+
+def smallest_reachable(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n positions reaches by links (p, q)."""
+    root = np.arange(n)
+    while True:
+        rp, rq = root[p], root[q]
+        if (rp == rq).all():
+            return root
+        np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
+        while (root != root[root]).any():
+            root = root[root]

@@ -3,14 +3,16 @@
 Every document is a set of word shingles. Its MinHash samples are (a) grouped into bands, whose equality proposes
 candidates, and (b) folded into an odd sketch: a bitmap in which every (sample number, sample) flips one bit. Two
 sketches' XOR holds one flip for each sample that differs, so its population count estimates high similarities
-precisely; candidates whose estimate is far below the threshold are dropped before anything large moves. The rest is
+precisely; pairs whose estimate is well below the threshold are dropped before anything large moves. The rest is
 confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. Equal sets are one class from the start. Then each bucket links its members
-to one leader, which already joins a group of near copies; only members of different components that still share a
-bucket are compared further, in blocks, and only pairs that pass the sketch leave a block. No bucket is capped.
+Pairs are never written out. Equal sets are one class from the start. Classes that share buckets form a family; a
+family is cut into blocks of bounded size, and each pair of its blocks is one unit of work. A unit looks at its pairs
+in memory and returns a spanning set of those that pass: first on bands and sketches, which splits families into those
+that the sketches hold together, then on the full sets of what is left. No bucket is capped.
 
-With 24 bands of 4 samples a pair at similarity 0.85 shares no band with probability 2e-8 (at 0.8: 4e-6).
+With 24 bands of 4 samples a pair at similarity 0.85 shares no band with probability 2e-8 (at 0.8: 4e-6), and fails
+the sketch with probability 3e-5 (four standard deviations); pairs above the threshold fail less.
 """
 
 from __future__ import annotations
@@ -18,19 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import stage
-from keyspan.llm.components import components
+from keyspan.llm.components import components, smallest_reachable
 from keyspan.llm.tokens import list_column, mix, shingles, word_hashes
 
 BANDS, ROWS, SKETCH_BITS = 24, 4, 256
 SAMPLES = BANDS * ROWS
-#: Rows of a block when members of one bucket are compared.
-BLOCK = 1024
+#: Classes of a block, and the most shingles of a block when sets are compared (a larger set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _KEYS[:SAMPLES], _KEYS[SAMPLES:] | np.uint64(1)
@@ -68,11 +69,15 @@ def estimate(xor_bits: float) -> float:
 
 
 def most_bits(percent: int) -> int:
-    """XOR counts above this are dropped: six standard deviations of samples and of bits beyond the threshold."""
-    differ = SAMPLES * (1 - percent / 100)
-    flips = 2 * (differ + 6 * np.sqrt(differ * percent / 100))
-    bits = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return int(np.ceil(bits + 6 * np.sqrt(SKETCH_BITS / 4 * max(0.05, 1 - (1 - 2 / SKETCH_BITS) ** (2 * flips)) / 4)))
+    """XOR counts above this are dropped: four standard deviations above a pair's at the threshold."""
+    differ = 1 - percent / 100
+    keep = 1 - 2 / SKETCH_BITS
+    # flips are 2 * Binomial(SAMPLES, differ); a bit is set where their number is odd
+    each = 1 - differ + differ * keep**2
+    mean = SKETCH_BITS / 2 * (1 - each**SAMPLES)
+    spread = SAMPLES * differ * percent / 100 * (2 * keep ** (2 * SAMPLES * differ)) ** 2  # from the number of samples that differ
+    clash = mean * (1 - 2 * mean / SKETCH_BITS) * 2 * mean / SKETCH_BITS  # from flips that meet
+    return int(np.ceil(mean + 4 * np.sqrt(spread + clash)))
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -118,52 +123,105 @@ def _full_sets(k: int):
     return run
 
 
-def _compare_blocks(percent: int):
+def _likely(percent: int):
     limit = most_bits(percent)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """All pairs of one block, or of one block with another, that may be links between components."""
-        one, two = rows["a_block"].iloc[0], rows["b_block"].iloc[0]
-        left = rows[rows["block"] == one]
-        right = rows[rows["block"] == two]
-        ls, rs = (np.array(x["sketch"].tolist(), dtype=np.int64).view(np.uint64) for x in (left, right))
-        li, ri = (x["rep"].to_numpy() for x in (left, right))
-        lc, rc = (x["component"].to_numpy() for x in (left, right))
-        ln, rn = (x["n_shingles"].to_numpy() for x in (left, right))
-        found = []
-        for i in range(len(left)):
-            bits = np.bitwise_count(rs ^ ls[i]).sum(axis=1)
-            ok = (bits <= limit) & (rc != lc[i]) & (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i])) & ((ri > li[i]) if one == two else (ri != li[i]))
-            found += [(min(li[i], x), max(li[i], x)) for x in ri[ok]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
-
-    return run
-
+    def pairs(unit: pa.Table, at: np.ndarray, cross: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs that share a band and pass the sketch."""
+        n = len(at)
+        bands = unit.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+        sketch = unit.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, SKETCH_BITS // 64)
+        size = unit.column("n_shingles").to_numpy()
+        ps, qs = [], []
+        for i in range(cross or n):
+            rest = slice(max(i + 1, cross), n)
+            bits = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
+            near = np.flatnonzero((bits <= limit) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])))
+            near = near[(bands[rest][near] == bands[i]).any(axis=1)] + rest.start
+            ps.append(np.full(len(near), i))
+            qs.append(near)
+        return np.concatenate(ps), np.concatenate(qs)
+
+    return pairs
+
+
+def _exact(percent: int):
+    def pairs(unit: pa.Table, at: np.ndarray, cross: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs whose full sets reach the threshold."""
+        n = len(at)
+        lists = unit.column("values").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(n), size)
+        # only shingles that several members have count
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1 if len(group) else new
+        owner, group = owner[several], group[several]
+        group = np.unique(group, return_inverse=True)[1]
+        common = np.zeros((cross or n, n), dtype=np.float32)
+        step = max(256, (1 << 22) // max(1, n))
+        for lo in range(0, int(group[-1]) + 1 if len(group) else 0, step):
+            part = slice(np.searchsorted(group, lo), np.searchsorted(group, lo + step))
+            has = np.zeros((n, step), dtype=np.float32)
+            has[owner[part], group[part] - lo] = 1
+            common += has[: cross or n] @ has.T
+        both = size[: cross or n, None] + size[None, :] - common
+        ok = 100 * common.astype(np.float64) >= percent * both.astype(np.float64)
+        p, q = np.nonzero(ok)
+        keep = (q > p) & (q >= cross)
+        return p[keep], q[keep]
+
+    return pairs
+
+
+def _in_units(pairs):
+    """Runs pairs(unit, ids, cross) over rows sorted by family, b1, b2 and side; returns a spanning set of each unit's pairs.
+
+    A unit is one block with itself (cross 0) or two blocks, of which the first has cross rows.
+    """
 
-def _bits(x: str, y: str):
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    def spanned(unit: pa.Table) -> pa.RecordBatch:
+        ids = unit.column("rep").to_numpy()
+        cross = int((unit.column("side").to_numpy() == 0).sum())
+        p, q = pairs(unit, ids, 0 if cross == len(ids) else cross) if len(ids) > 1 and cross else (np.zeros(0, int),) * 2
+        root = smallest_reachable(len(ids), p, q)
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.stack([batch.column(c).to_numpy() for c in ("family", "b1", "b2")])
+                cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    key = tuple(keys[:, lo].tolist())
+                    if key != last and held:
+                        yield spanned(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = key
+        if held:
+            yield spanned(pa.Table.from_batches(held))
 
-class _Linker:
-    """Turns candidate pairs of class representatives into links."""
+    return run
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, reps: DataFrame, percent: int, k: int):
-        self.spark, self.docs, self.reps, self.percent, self.k = spark, docs, reps, percent, k
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        light = self.reps.select("rep", "n_shingles", "sketch")
-        one = light.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        two = light.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        likely = pairs.join(one, "a").join(two, "b").filter((_bits("sa", "sb") <= most_bits(self.percent)) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
-        likely = stage(self.spark, likely.select("a", "b", "na", "nb"), "candidates")
-        wanted = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-        sets = stage(self.spark, texts.mapInArrow(_full_sets(self.k), "rep long, values array<long>"), "sets")
-        a, b = (sets.select(F.col("rep").alias(x), F.col("values").alias(f"v{x}")) for x in "ab")
-        both = likely.join(a, "a").join(b, "b")
-        common = F.size(F.array_intersect("va", "vb"))
-        sizes = F.size("va") + F.size("vb")
-        return stage(self.spark, both.filter(100 * common >= self.percent * (sizes - common)).select("a", "b"), "links")
+def _units(spark: SparkSession, rows: DataFrame, families: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows (rep, ...) of families (rep, family), dealt into units: b1 <= b2 are a family's blocks, side tells which of the two."""
+    rows = rows.join(families, "rep")
+    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(weight) / most)).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = rows.join(sizes, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"b1": F.least("block", "with"), "b2": F.greatest("block", "with"), "side": (F.col("block") > F.col("with")).cast("int")}).drop("blocks", "block", "with")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "family", "b1", "b2").sortWithinPartitions("family", "b1", "b2", "side", "rep")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -180,29 +238,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k:
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(spark, some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     entries = classes.select(F.explode("bands").alias("key"), "rep")
-    sizes = entries.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last")
-    # only members of buckets that hold two classes or more go on
-    shared = stage(spark, entries.join(sizes, "key").select("key", "rep", "lead"), "shared")
-    linker = _Linker(spark, docs, classes, percent, k)
-    links = linker.links(shared.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    for turn in ("leaders", "blocks"):
-        found = components(spark, links)
-        known = found.select(F.col("node").alias("rep"), "component")
-        # buckets whose members are in different components
-        placed = shared.select("key", "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-        rest = stage(spark, placed.join(apart, "key"), f"rest-{turn}")
-        if turn == "leaders":
-            # the member whose component is the largest leads the others this time
-            lead = rest.filter("component = high").groupBy("key").agg(F.max("rep").alias("lead"))
-            pairs = rest.filter("component <> high").join(lead, "key").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        else:
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            member = rest.join(classes.select("rep", "n_shingles", "sketch"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            member = member.select("key", "rep", "component", "n_shingles", "sketch", "block", other.alias("with")).withColumn("a_block", F.least("block", "with")).withColumn("b_block", F.greatest("block", "with"))
-            pairs = member.groupBy("key", "a_block", "b_block").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
-        links = links.unionByName(linker.links(pairs))
+    leads = entries.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last").select("key", "lead")
+    # families: what shares buckets, directly or through others
+    shared = entries.join(leads, "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    family = lambda links, name: stage(spark, components(spark, links).select(F.col("node").alias("rep"), F.col("component").alias("family")), name)
+    by_bucket = family(shared, "bucket-families")
+    light = _units(spark, classes.select("rep", "n_shingles", "bands", "sketch"), by_bucket, F.lit(1), BLOCK)
+    likely = stage(spark, light.mapInArrow(_in_units(_likely(percent)), "a long, b long"), "likely")
+    by_sketch = family(likely, "sketch-families")
+    sets = stage(spark, docs.select(F.col("doc_id").alias("rep"), "text").join(by_sketch.select("rep"), "rep", "left_semi").mapInArrow(_full_sets(k), "rep long, values array<long>"), "sets")
+    full = _units(spark, sets.withColumn("n", F.size("values")), by_sketch, F.col("n"), BLOCK_SHINGLES)
+    links = full.mapInArrow(_in_units(_exact(percent)), "a long, b long")
     found = stage(spark, components(spark, links), "components")
     out = sig.select("doc_id", "n_shingles", "fp1", "fp2").join(classes.select("fp1", "fp2", "n_shingles", "rep"), ["fp1", "fp2", "n_shingles"], "left")
     # a null id is in no class

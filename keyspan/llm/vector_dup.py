@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import stage
-from keyspan.llm.components import components
+from keyspan.llm.components import components, smallest_reachable
 
 #: Points of a block.
 BLOCK = 1024
@@ -131,18 +131,6 @@ def dual_join(one: CoverTree, two: CoverTree, least: float, same: bool) -> Itera
             i, j = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
 
 
-def smallest_reachable(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The smallest position that each of n positions reaches by links (p, q)."""
-    root = np.arange(n)
-    while True:
-        rp, rq = root[p], root[q]
-        if (rp == rq).all():
-            return root
-        np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
-        while (root != root[root]).any():
-            root = root[root]
-
-
 def link_blocks(xa: np.ndarray, ma: np.ndarray, xb: np.ndarray | None, mb: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each point, smallest position it reaches) for the points of a, then those of b. xb None: a with itself.
 
