@@ -225,4 +225,4 @@ def parse_bound_column(text: Column) -> Column:
     """The long with the bits of a bound; null if it is none."""
     ok = text.rlike(r"\A([0-9A-Fa-f]{2}){0,8}\z")
     wide = F.conv(F.rpad(text, 16, "0"), 16, 10).cast("decimal(20,0)")
-    return F.when(ok, F.when(wide >= 1 << 63, wide - SPACE).otherwise(wide).cast("bigint"))
+    return F.when(ok, F.when(wide > (1 << 63) - 1, wide - F.lit(str(SPACE)).cast("decimal(20,0)")).otherwise(wide).cast("bigint"))
