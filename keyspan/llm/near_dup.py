@@ -116,9 +116,11 @@ def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets = list(_sets(batch.column("text"), k))
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), list_column(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bounds)], names=["rep", "values"])
+                for first, last, bounds, words in word_hashes(batch.column("text")):  # a small batch for each piece of text
+                    values, at = shingles(words, bounds, k)
+                    sets = [np.unique(values[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                    yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, last - first), list_column(np.concatenate(sets), ends)], names=["rep", "values"])
 
     return run
 
