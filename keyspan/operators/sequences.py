@@ -6,10 +6,12 @@ import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyspan.sources.scratch import kept
+
 
 class SequenceError(RuntimeError):
     """Ids that can't be given."""
@@ -78,17 +80,17 @@ class Allocator:
         return True
 
 
-def number_rows(df: DataFrame, order: Sequence[str], start: int, column: str) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str | Column], start: int, column: str) -> DataFrame:
     """df with dense ids from start, in the order of `order` (ties in any order).
 
     Rows are numbered within range partitions, and partitions by the sums of their sizes: no single task sees all rows.
-    df must give the same rows each time it is read.
+    The partitions are kept as a table, for a range partitioning need not come out the same twice.
     """
-    # a fixed number of partitions: they must be the same both times
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    sizes = by.groupBy(part.alias("__part")).count()
+    by = kept(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    by = by.withColumn("__part", F.shiftright("__at", 33))
+    # one row for each partition
+    sizes = by.groupBy("__part").count()
     before = sizes.select("__part", (F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("__before"))
-    out = by.withColumn("__part", part).join(F.broadcast(before), "__part")
+    out = by.join(F.broadcast(before), "__part")
     return out.withColumn(column, F.lit(start) + F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
