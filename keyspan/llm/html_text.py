@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import stage
+from keyspan.llm.tokens import release
 from keyspan.llm.url_filter import host_of
 
 #: Importance below this is noise, on hosts of at least LEAST_PAGES pages.
@@ -37,6 +38,8 @@ _MAIN = frozenset(("article", "main"))
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|sidebar|side-?bar|widget|related|recommended|share|sharing|social|breadcrumbs?|menu|navbar|navigation|nav|masthead|site-?header|footer|comments?|comment-?list|disqus|replies|respond|login|signup|search)(?=$|[\s_-]|\d)", re.I)
+#: A name like with-sidebar speaks of what is beside the element.
+_BESIDE = re.compile(r"(?:^|[_-])(?:has|with|without|no|non)[_-]", re.I)
 _ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu\w*)$", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -50,7 +53,11 @@ def _noise(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or ("style" in attrs and _HIDDEN.search(attrs["style"])):
         return True
-    return tag not in ("html", "body", *_MAIN) and bool(_NAMES.search(attrs.get("class", "")) or _NAMES.search(attrs.get("id", "")) or _ROLES.match(attrs.get("role", "")))
+    if tag in ("html", "body", *_MAIN):
+        return False
+    if _ROLES.match(attrs.get("role", "")):
+        return True
+    return any(_NAMES.search(name) and not _BESIDE.search(name) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
@@ -182,6 +189,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds.append(kind)
                 values.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, paths, kinds, values)], names=["host", "path", "kind", "value"])
+        release()
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -215,6 +223,7 @@ def _text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("\n".join(t for p, t, main in blocks(page or "")[0] if main or p not in gone))
         keep = [batch.column(x) for x in ("page_id", "url")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        release()
 
 
 #: Noise paths of all hosts up to which they are sent to all tasks, and a bound of their bytes.

@@ -88,8 +88,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float = 0.
     mix_copies is how often a document is in the mix: its source's whole passes, and one more for documents at the
     front of the permutation until the quota is used up (to less than a document). A null source is a source of its
     own. Documents without tokens cost nothing and are in the mix once; a source of only those has a null weight. Rows
-    that repeat a doc_id of a source stand at one place of the permutation and are in or out together. Columns that
-    are there already under one of the new names are replaced. An empty table gives an empty result.
+    that repeat a doc_id of a source stand at one place of the permutation and are in or out together. Columns of docs
+    that begin with mix_ are replaced, others stay. An empty table gives an empty result.
     """
     light = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"))
     light = light.filter("tokens > 0").withColumn("key", _key(seed)).withColumn("block", F.shiftright("key", 63 - BLOCK_BITS))
@@ -112,17 +112,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float = 0.
     cut = fits.groupBy("source").agg(F.max("key").alias("cut"))
     plan = weights.join(last, of_source(weights, last), "left").drop(last["source"]).drop("left")
     plan = plan.join(cut, of_source(plan, cut), "left").drop(cut["source"])
-    plan = stage(spark, plan.select(F.col("source").alias("mix_source"), F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight"), F.col("quota").alias("mix_quota"), "passes", F.col("block").alias("end_block"), F.col("cut").alias("end_key")), "plan")
+    plan = stage(spark, plan.select(F.col("source").alias("mix_source"), F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight"), F.col("quota").alias("mix_quota"), F.col("passes").alias("mix_passes"), F.col("block").alias("mix_end_block"), F.col("cut").alias("mix_end_key")), "plan")
 
-    new = ["mix_source", "mix_alpha", "mix_weight", "mix_quota", "mix_tokens", "mix_copies", "passes", "end_block", "end_key"]
-    rows = docs.drop(*new).withColumn("mix_tokens", n_tokens(F.col("text")))
+    rows = docs.drop("mix_source", "mix_alpha", "mix_weight", "mix_quota", "mix_tokens", "mix_copies", "mix_passes", "mix_end_block", "mix_end_key").withColumn("mix_tokens", n_tokens(F.col("text")))
     rows = rows.join(near(plan), F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
     key = _key(seed)
     block = F.shiftright(key, 63 - BLOCK_BITS)
     # no end: the rest of the quota is nothing, and no block was entered
-    extra = (block < F.col("end_block")) | ((block == F.col("end_block")) & (key <= F.col("end_key")))
-    copies = F.when(F.col("mix_tokens") == 0, 1).otherwise(F.col("passes") + F.coalesce(extra, F.lit(False)).cast("long"))
-    return rows.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "passes", "end_block", "end_key")
+    extra = (block < F.col("mix_end_block")) | ((block == F.col("mix_end_block")) & (key <= F.col("mix_end_key")))
+    copies = F.when(F.col("mix_tokens") == 0, 1).otherwise(F.col("mix_passes") + F.coalesce(extra, F.lit(False)).cast("long"))
+    return rows.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_passes", "mix_end_block", "mix_end_key")
 
 
 def realised(mixed: DataFrame, columns: list[str]) -> DataFrame:

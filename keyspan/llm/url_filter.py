@@ -30,7 +30,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: A cascade of more bits than this is not sent to the tasks; the rules are joined instead.
-MOST_BITS = 1 << 30
+MOST_BITS = 1 << 28
 
 
 class Level(NamedTuple):
@@ -91,9 +91,9 @@ def build(spark: SparkSession, universe: DataFrame, wanted: Column) -> list[Leve
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
         # at most bits / 64 rows, a number fixed above
-        found = inside.select("h1", "h2").mapInArrow(set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+        found = inside.select("h1", "h2").mapInArrow(set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         words = np.zeros(bits // 64, dtype=np.int64)
-        words[[x["word"] for x in found]] = [x["bits"] for x in found]
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
         level = Level(words.view(np.uint64), hashes, seed)
         levels.append(level)
 

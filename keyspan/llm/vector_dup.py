@@ -205,7 +205,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, b
     # centres: as many as blocks that the largest label needs; the sample is of SAMPLE points at most
     dims = points.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = dims[0]["d"] if dims else 0
-    sample = [x["v"] for x in points.filter(F.col("d") == d).select("k1", "k2", "label", "v").orderBy("k1", "k2", "label").limit(SAMPLE if largest > block else 1).collect()]
+    # in all, no more values than 2^20 come to the driver
+    most = max(1, min(SAMPLE, (1 << 20) // max(1, d)))
+    sample = [x["v"] for x in points.filter(F.col("d") == d).select("k1", "k2", "label", "v").orderBy("k1", "k2", "label").limit(most if largest > block else 1).collect()]
     want = min(CENTRES, max(1, -(-largest // block)))
     centres = centres_of(np.array(sample), want) if sample else np.zeros((0, d))
 
@@ -268,3 +270,19 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, b
 
 def op1_cover_tree_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON vec_id = node LEFT JOIN n ON vec_id = a
+"""
