@@ -29,6 +29,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows and bytes of the batches that go to Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches where they have Spark's default sizes.
+
+    A batch is held several times, on either side of the worker's pipe; at the defaults (10,000 rows of whole texts)
+    that is the most that an executor needs.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.tokens import PUNCTUATION, mix, word_hashes
+from keyspan.llm.common import small_batches
+from keyspan.llm.tokens import PUNCTUATION, mix, release, word_hashes
 
 # Notices and short licence texts as their licences word them.
 TEMPLATES = (
@@ -109,6 +110,15 @@ def best_run(template: Template, grams: list[int], places: list[int], least: flo
     return best
 
 
+def apart(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
+    """The runs (dice, first word, words) that overlap no better one: licences' templates resemble each other."""
+    out: dict[str, tuple[float, int, int]] = {}
+    for licence, (dice, start, n) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
+        if all(start >= s + m or s >= start + n for _, s, m in out.values()):
+            out[licence] = (dice, start, n)
+    return out
+
+
 def _scan(templates: list[Template], least: float):
     known = np.unique(np.array([g for t in templates for g in t.bigrams], dtype=np.uint64))
     holders: dict[int, list[int]] = {}
@@ -133,6 +143,8 @@ def _scan(templates: list[Template], least: float):
                     row = np.searchsorted(bounds, at, side="right") - 1
                     ok = at + 1 < bounds[row + 1]  # both words are of one text
                     at, row = at[ok], row[ok]
+                    if not len(row):
+                        continue
                     cuts = np.flatnonzero(np.diff(row, prepend=-1))
                     for lo, hi in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
                         r, places = int(row[lo]), at[lo:hi]
@@ -148,8 +160,9 @@ def _scan(templates: list[Template], least: float):
                             dice, start, a = best_run(templates[k], [g for _, g in hits], [p for p, _ in hits], least)
                             if dice and dice > found.get(templates[k].licence, (0.0,))[0]:
                                 found[templates[k].licence] = (dice, start, a + 1)
-                        rows += [(ids[first + r].as_py(), licence, *x) for licence, x in sorted(found.items())]
+                        rows += [(ids[first + r].as_py(), licence, *x) for licence, x in sorted(apart(found).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "licence", "dice", "first_word", "n_words"])
+                release()
 
     return run
 
@@ -157,9 +170,10 @@ def _scan(templates: list[Template], least: float):
 def scan_licences(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     """(doc_id, licence, dice, first_word, n_words): for each row of docs (doc_id, text) and licence found in it, its best run.
 
-    Whole texts are scanned. Null and wordless texts hold nothing; of equally good runs the first counts. Repeated rows
+    A run that overlaps a better one of another licence is left out. Whole texts are scanned. Null and wordless texts hold nothing; of equally good runs the first counts. Repeated rows
     each give their rows. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_scan(prepare(templates), least), "doc_id long, licence string, dice double, first_word long, n_words long")
 
