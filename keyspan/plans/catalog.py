@@ -11,7 +11,7 @@ SERVING, BUFFERED, READ_ONLY, DRAINING, HIDDEN = "Serving", "Buffered", "ReadOnl
 STATES = (SERVING, BUFFERED, READ_ONLY, DRAINING, HIDDEN)
 
 
-class TopologyError(ValueError):
+class TopologyError(KeyspaceError):
     """A topology that must not be used."""
 
 
@@ -100,6 +100,15 @@ class Topology:
     @classmethod
     def from_json(cls, doc: dict) -> Topology:
         """From the form that topologies are stored in; bounds must be spelled canonically."""
+        try:
+            return cls._from_json(doc)
+        except TopologyError:
+            raise
+        except KeyspaceError as error:
+            raise TopologyError(str(error)) from error
+
+    @classmethod
+    def _from_json(cls, doc: dict) -> Topology:
         shards = tuple(Shard(s["name"], KeyRange(canonical_bound(s["keyRange"].get("start", "")), canonical_bound(s["keyRange"]["end"]) if s["keyRange"].get("end") else None), s.get("state", SERVING), (s.get("primary") or {}).get("pod")) for s in doc.get("shards", ()))
         tables = []
         for t in doc.get("tables", ()):

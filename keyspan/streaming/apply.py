@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.functions.keyspace import KeyRange, id_column, required, route_column
+from keyspan.functions.keyspace import KeyRange, id_column, required, route_column, text_id_column
 from keyspan.operators.placement import keep_range as keep_rows
 from keyspan.plans.catalog import ShardCatalog
 from keyspan.sources.copytext import typed
@@ -67,27 +67,34 @@ class Applier:
         return new
 
     def _rewrite(self, table: str, changes: DataFrame, base: dict) -> Callable[[dict], None]:
-        """Writes the touched shards anew; the shards that no change touches are not read."""
+        """Writes the touched shards anew. Where the shard key is part of the table's key, no other shard is read."""
         schema = self.store.schema(table, base)
         keys, entry = self.keys[table], base["tables"][table]
-        current = self.store.read(table, version=base["version"] or None, with_shard=True)
-        as_key = lambda df: F.array(*[F.col(k).cast("string") for k in keys])
         stepped = steps(changes)
-        existing = current.select(as_key(current).alias("key")).join(stepped.select("key").distinct(), "key", "left_semi")
+        by_key = "key" in entry and entry["key"] in keys
+        shard_of = lambda position: route_column(required(position, "a row has no key to place it by"), self.shards.shards)
+        if "key" not in entry:
+            hit = [GLOBAL_SHARD]
+        elif by_key:
+            at = shard_of(text_id_column(entry["key_type"], F.col("key")[keys.index(entry["key"])]))
+            hit = sorted(x["shard"] for x in stepped.select(at.alias("shard")).distinct().collect())
+        else:
+            hit = None
+        current = self.store.read(table, hit, version=base["version"] or None, with_shard=True)
+        as_key = F.array(*[F.col(k).cast("string") for k in keys])
+        existing = current.select(as_key.alias("key")).join(stepped.select("key").distinct(), "key", "left_semi")
         net = net_changes(stepped, existing)
         value = lambda name: F.get(F.filter("cells", lambda c: c["name"] == name), F.lit(0))
         given = net.select("key", "op", *[F.struct(value(f.name)["kind"].alias("kind"), typed(value(f.name)["value"], f.dataType).alias("value")).alias(f"new_{f.name}") for f in schema])
-        rows = current.withColumn("key", as_key(current)).join(given, "key", "full_outer")
+        rows = current.withColumn("key", as_key).join(given, "key", "full_outer")
         kept = F.col("op").isNull() | (F.col("op") != "delete")
         # an unchanged cell keeps what is stored; where nothing is stored, it can't be known
         pick = lambda f: F.when(F.col("op").isNull() | (F.col(f"new_{f.name}.kind") == "unchanged"), F.col(f.name)).otherwise(F.col(f"new_{f.name}.value")).alias(f.name)
         result = rows.filter(kept).select(*[pick(f) for f in schema])
-        if "key" not in entry:
-            hit = [GLOBAL_SHARD]
-        else:
-            at = route_column(required(id_column(entry["key_type"], F.col(entry["key"])), "a row has no key to place it by"), self.shards.shards)
+        if hit is None:
+            at = shard_of(id_column(entry["key_type"], F.col(entry["key"])))
             new_shards = given.filter("op <> 'delete'").select(F.col(f"new_{entry['key']}.value").alias(entry["key"])).filter(F.col(entry["key"]).isNotNull()).select(at.alias("shard"))
-            old_shards = current.withColumn("key", as_key(current)).join(given.select("key"), "key", "left_semi").select("shard")
+            old_shards = current.withColumn("key", as_key).join(given.select("key"), "key", "left_semi").select("shard")
             hit = sorted(x["shard"] for x in new_shards.union(old_shards).distinct().collect())
             result = result.filter(at.isin(hit))
         version, written = self.store.write_files(table, result, self.shards, base)

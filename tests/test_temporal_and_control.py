@@ -276,7 +276,8 @@ def test_decisions_once():
 def test_instance_settings():
     r = I.render("L", {" Work_Mem ": "1GB", "max_connections": "'500'", "wal_level": "minimal"}, headroom=4)
     p = r["parameters"]
-    assert (p["shared_buffers"], p["work_mem"], p["max_connections"], p["wal_level"], p["max_wal_senders"], p["io_workers"]) == ("16384MB", "1GB", "500", "logical", "7", "4")
+    assert (p["shared_buffers"], p["work_mem"], p["max_connections"], p["wal_level"], p["max_wal_senders"], p["io_workers"]) == ("16384MB", "1GB", "'500'", "logical", "7", "4")
+    assert I.render("S", {"max_connections": "50"})["parameters"]["work_mem"] == "20MB"
     assert I.render("S")["parameters"]["work_mem"] == "10MB" and I.render("S")["synchronous"] == ("off", 0)
     assert I.render("M")["hash"] == I.render("")["hash"] != I.render("M", {"work_mem": "1GB"})["hash"]
     for bad in ({"archive_command": "x"}, {"a b": "x"}, {"a": "x\ny"}, {"A": "1", "a": "2"}):
