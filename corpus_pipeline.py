@@ -20,8 +20,8 @@ LEAST_SCORE = 0.2
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that no language claims."""
     columns = docs.columns
-    scored = language_id.identify(docs, language_id.learned(spark, docs))
-    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    scored = language_id.identify(docs, language_id.learned(spark, docs), "__pred", "__score")
+    return scored.filter((F.col("__pred") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.tokens import PUNCTUATION, mix, word_hashes
+from keyspan.llm.common import small_batches
+from keyspan.llm.tokens import PUNCTUATION, mix, release, word_hashes
 
 STEPS, PLACES, REPEATS = 14, 9, 4
 #: Bytes of items searched for at once; more items are taken in blocks.
 ITEM_BYTES = 8 << 20
 #: Bits of the tables that end hopeless walks.
-_TABLE = 20
+_TABLE = 17
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -222,6 +223,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, percent:
     searched. Null and wordless texts hold nothing, null and wordless items are nowhere. Repeated rows of docs, and of
     items, each give their rows. An empty table on either side gives an empty result.
     """
+    small_batches(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -249,6 +251,7 @@ def _leaks(index: Index):
                         n = len(index.items[i].words)
                         rows.append((ids[first + r].as_py(), index.items[i].item_id, edits, n, end, 1 - edits / n))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kind) for c, kind in enumerate(kinds)], names=names)
+                release()
 
     return run
 

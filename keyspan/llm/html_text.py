@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stage
+from keyspan.llm.common import small_batches, stage
 from keyspan.llm.tokens import release
 from keyspan.llm.url_filter import host_of
 
@@ -238,6 +238,7 @@ def extract(spark: SparkSession, pages: DataFrame, least: float = LEAST_IMPORTAN
     `least_pages` pages or more. Blocks in an article or main element are always content. Repeated pages count as pages
     of the host each, and each gets its row.
     """
+    small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     tree = style_tree(rows)
     noise = tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & F.col("says")).groupBy("host").agg(F.collect_set("path").alias("noise"))

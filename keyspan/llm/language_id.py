@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.tokens import PIECE, text_buffers
+from keyspan.llm.common import small_batches
+from keyspan.llm.tokens import PIECE, release, text_buffers
 
 #: Documents of each language that a model is fitted on: those whose hashed id is smallest, by an expected count.
 SAMPLE = 250
+#: Documents of all languages together that it is fitted on; with many languages each has fewer.
+SAMPLE_IN_ALL = 2000
 #: Landmarks, spread evenly over the sample.
 LANDMARKS = 256
 #: Languages a model can hold.
@@ -78,9 +81,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """A model from labelled (doc_id, text, lang); rows without lang are left out.
 
-    Languages are counted over all rows; about `sample` documents of each, chosen by hashed id, are used. The sample is
-    bounded by 2 * sample * languages rows whatever the table holds; only their n-gram places come to the driver.
+    Languages are counted over all rows; about `sample` documents of each (SAMPLE_IN_ALL together), chosen by hashed id,
+    are used, whatever the table holds, and no more than twice as many; only their n-gram places come to the driver.
     """
+    small_batches(spark)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -88,17 +92,19 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, landmark
     languages = tuple(sorted(counts))
     if not languages:
         return Model((), np.zeros((WIDTH, 0), np.float32))
+    sample = max(1, min(sample, SAMPLE_IN_ALL // len(languages)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    found = chosen.select("text", "lang").mapInArrow(_features, "lang string, places array<int>").limit(6 * sample * len(languages)).collect()
-    found.sort(key=lambda x: (x["lang"], x["places"]))  # the order that rows arrive in must not matter
+    found = chosen.select("text", "lang").mapInArrow(_features, "lang string, places array<int>").limit(6 * sample * len(languages)).toArrow()
+    found = list(zip(found["lang"].to_pylist(), (x.values.to_numpy() for x in found["places"]), strict=True))
+    found.sort(key=lambda x: (x[0], x[1].tobytes()))  # the order that rows arrive in must not matter
     if not found:
         return Model(languages, np.zeros((WIDTH, len(languages)), np.float32))
 
     def vectors(rows) -> np.ndarray:
         out = np.zeros((len(rows), WIDTH), dtype=np.float32)
-        for i, x in enumerate(rows):
-            out[i, x["places"]] = 1 / np.sqrt(len(x["places"]))
+        for i, (_, places) in enumerate(rows):
+            out[i, places] = 1 / np.sqrt(len(places))
         return out
 
     step = max(1, len(found) // landmarks)
@@ -108,7 +114,7 @@ def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, landmark
     for at in range(0, len(found), 256):
         part = found[at : at + 256]
         k = (vectors(part) @ marks.T).astype(np.float64)
-        y = np.array([[1.0 if x["lang"] == lang else -1.0 for lang in languages] for x in part])
+        y = np.array([[1.0 if own == lang else -1.0 for lang in languages] for own, _ in part])
         normal += k.T @ k
         target += k.T @ y
     alpha = np.linalg.solve(normal + ridge * len(found) * (kmm + 1e-8 * np.eye(len(marks))), target)
@@ -135,22 +141,24 @@ def score(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, any others) with lang_pred and score; columns of these names are replaced.
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs (text, any others) with the predicted language and its score; columns of their names are replaced.
 
     Whole texts are looked at. A null text, or one without a letter, is `und` with score 0. If nothing was learned,
     every text is `und`.
     """
-    docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
+    docs = docs.drop(pred, score_as)
     schema = docs.schema
     docs_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = score(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score_as])
+            release()
 
-    return docs.mapInArrow(run, docs_schema + ", lang_pred string, score double")
+    return docs.mapInArrow(run, docs_schema + f", `{pred}` string, `{score_as}` double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stage
+from keyspan.llm.common import small_batches, stage
 from keyspan.llm.components import components, smallest_reachable
-from keyspan.llm.tokens import list_column, mix, shingles, word_hashes
+from keyspan.llm.tokens import list_column, mix, release, shingles, word_hashes
 
 BANDS, ROWS, SKETCH_BITS = 24, 4, 256
 SAMPLES = BANDS * ROWS
 #: Classes of a block, and the most shingles of a block when sets are compared (a larger set is a block of its own).
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _KEYS[:SAMPLES], _KEYS[SAMPLES:] | np.uint64(1)
@@ -108,6 +108,7 @@ def _signatures(k: int):
                     [batch.column("doc_id"), pa.array(sizes), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), list_column(band_keys(some).ravel(), bound(BANDS)), list_column(odd_sketch(some).ravel(), bound(SKETCH_BITS // 64))],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
                 )
+                release()
 
     return run
 
@@ -121,6 +122,7 @@ def _full_sets(k: int):
                     sets = [np.unique(values[at[r] : at[r + 1]]) for r in range(len(at) - 1)]
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                     yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, last - first), list_column(np.concatenate(sets), ends)], names=["rep", "values"])
+            release()
 
     return run
 
@@ -210,6 +212,7 @@ def _in_units(pairs):
                     last = key
         if held:
             yield spanned(pa.Table.from_batches(held))
+        release()
 
     return run
 
@@ -235,6 +238,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k:
     doc_id are judged row by row, each by its own text. A null doc_id links with nothing: its component_id is null and
     it is kept. An empty table gives an empty result.
     """
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stage(spark, docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"), "signatures")
     some = sig.filter("n_shingles > 0 and doc_id is not null")
@@ -262,3 +266,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k:
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, k=5)
+
+
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id
+"""

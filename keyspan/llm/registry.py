@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_bloom_cascade_url_filter": url_filter.OP6_SQL, "op10_warc_round_trip": warc.OP10_SQL}
+    return {"op1_cover_tree_vector_dedup": vector_dup.OP1_SQL, "op7_minhash_near_dedup": near_dup.OP7_SQL, "op6_bloom_cascade_url_filter": url_filter.OP6_SQL, "op10_warc_round_trip": warc.OP10_SQL}

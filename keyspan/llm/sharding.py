@@ -8,8 +8,10 @@ reproducible from (seed, n), and both directions can be computed for any one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,12 +84,13 @@ def shard_rows(spark: SparkSession, docs: DataFrame, shards: int = 24, seed: int
     before = counts.select("part", (F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("before"))
     n = ordered.count()
 
-    @F.pandas_udf("long")
-    def place(rows: pd.Series) -> pd.Series:
-        return pd.Series(permute(rows.to_numpy(), n, seed))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(permute(batch.column("p").to_numpy(), n, seed))], names=batch.schema.names)
 
     numbered = ordered.withColumn("part", part).join(F.broadcast(before), "part")
-    placed = numbered.withColumn("p", place(F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))))
+    rows = numbered.select("doc_id", "size", "text_crc32", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("p"))
+    placed = rows.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, text_crc32 long, p long")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("p", F.lit(shards)).cast("int").alias("shard"), F.expr(f"p div {shards}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

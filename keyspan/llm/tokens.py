@@ -6,6 +6,8 @@ Texts are worked in pieces of bounded size, so a very long text costs memory in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -125,6 +127,13 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndar
     return out, out_bounds
 
 
+def release() -> None:
+    """Gives memory that a worker holds but doesn't use back to the system: a worker waits long between its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def list_column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """An Arrow list<int64> column from flat 64-bit values and row bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import new_path, stage
+from keyspan.llm.common import new_path, small_batches, stage
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -92,6 +92,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: i
     with the smallest page_id is a response and the others revisit it; of rows that repeat that page_id too, one is the
     response. A null page_id never is the smallest where there is another. Folder must be one that all executors see.
     """
+    small_batches(spark)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     light = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least)
