@@ -13,15 +13,28 @@ from pyspark.sql import functions as F
 from keyspan.llm import decontaminate, language_id, mixing, near_dup, sharding
 from keyspan.llm.common import stage
 
-#: A document whose best language scores less than this is rejected: all one-versus-rest classifiers deny it firmly.
-LEAST_SCORE = 0.2
+#: A document whose best language scores less than this is rejected: no classifier clearly claims it (0.5 is undecided).
+LEAST_SCORE = 0.53
+#: The share of held-out labelled documents that may score less than the least score; it is lowered until that holds.
+LOST = 0.001
+#: Texts of fewer characters say too little to be denied a language.
+SHORT = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no language claims."""
+    """Drops documents without a letter, and those of SHORT characters or more that no language claims.
+
+    A document is claimed by a score of LEAST_SCORE, or of the lowest LOST of held-out labelled documents if that is
+    less. The classifiers' values sum to about 2 - languages, so a model of one language claims almost all texts.
+    """
     columns = docs.columns
-    scored = language_id.identify(docs, language_id.learned(spark, docs), "__pred", "__score")
-    return scored.filter((F.col("__pred") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*columns)
+    model = language_id.learned(spark, docs)
+    scored = language_id.identify(docs, model, "__pred", "__score")
+    long = F.length("text") >= SHORT
+    sure = language_id.identify(docs.filter(language_id.held_out() & F.col("lang").isNotNull() & long).select("text"), model, "__pred", "__score")
+    lowest = sure.filter(F.col("__pred") != language_id.UNKNOWN).agg(F.percentile_approx("__score", LOST, 100_000)).first()[0]
+    least = LEAST_SCORE if lowest is None else min(LEAST_SCORE, lowest)
+    return scored.filter((F.col("__pred") != language_id.UNKNOWN) & (~long | (F.col("__score") >= least))).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

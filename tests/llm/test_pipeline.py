@@ -41,3 +41,15 @@ def test_stages_take_effect(spark, tmp_path):
     sizes = Counter(r["shard"] for r in last)
     assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(24)) <= 1
     assert L.UNKNOWN == "und" and P.ORACLE_SQL is None
+
+
+def test_texts_that_no_language_claims_are_dropped(spark):
+    rng = random.Random(5)
+    docs = [(i, foreign(rng, lang, 60), lang) for i in range(240) for lang in [("aa", "bb", "cc")[i % 3]]]
+    polish = "Miasto leży nad brzegiem rzeki, a jego mieszkańcy pracują w pobliskich fabrykach, gdzie produkują buty i meble sprzedawane w całym kraju."
+    russian = "Город находится на берегу реки, и жители работают на соседних фабриках, где производят обувь и мебель."
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(30))
+    odd = [(1000, polish, None), (1001, russian, None), (1002, junk, None)]
+    short = [(1003, "zx.", None)]  # too short to be judged
+    df = spark.createDataFrame(docs + odd + short, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in P.identify_language(spark, df, "").collect()) == [*range(240), 1003]
