@@ -8,6 +8,7 @@ b * (2 - t) / t bigrams; texts that hold too few of a template's bigrams anywher
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -88,13 +89,12 @@ def prepare(templates) -> list[Template]:
     return out
 
 
-def best_run(template: Template, grams: list[int], places: list[int], least: float) -> tuple[float, int, int]:
-    """(highest Dice coefficient of a run that reaches least, its first bigram, its number of bigrams), else (0, 0, 0).
+def runs(template: Template, grams: list[int], places: list[int], least: float) -> Iterator[tuple[float, int, int]]:
+    """(Dice coefficient, first bigram, number of bigrams) of each run that reaches least and starts and ends with a shared bigram.
 
-    grams: the template's bigrams as they occur, at places in rising order. A best run starts and ends with one.
+    grams: the template's bigrams as they occur, at places in rising order. A best run is among these.
     """
     longest = int(template.size * (2 - least) / least + 1e-9)
-    best = (0.0, 0, 0)
     for i, start in enumerate(places):
         left, common = dict(template.bigrams), 0
         for j in range(i, len(places)):
@@ -105,17 +105,22 @@ def best_run(template: Template, grams: list[int], places: list[int], least: flo
                 left[grams[j]] -= 1
                 common += 1
                 dice = 2 * common / (a + template.size)
-                if dice >= least and dice > best[0]:
-                    best = (dice, start, a)
-    return best
+                if dice >= least:
+                    yield dice, start, a
 
 
-def apart(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
-    """The runs (dice, first word, words) that overlap no better one: licences' templates resemble each other."""
+def apart(found: dict[str, list[tuple[float, int, int]]]) -> dict[str, tuple[float, int, int]]:
+    """Each licence's best run (dice, first word, words) among all runs that overlap no better one: licences' templates resemble each other."""
+    if len(found) < 2:
+        return {licence: min(own, key=lambda x: (-x[0], *x[1:])) for licence, own in found.items()}
     out: dict[str, tuple[float, int, int]] = {}
-    for licence, (dice, start, n) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
-        if all(start >= s + m or s >= start + n for _, s, m in out.values()):
-            out[licence] = (dice, start, n)
+    starts, ends = [], []  # of the runs that stay, in order; they overlap none of each other
+    for _, licence, start, n, dice in sorted((-dice, licence, start, n, dice) for licence, own in found.items() for dice, start, n in own):
+        at = bisect_right(starts, start)
+        if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or start + n <= starts[at]):
+            starts.insert(at, start)
+            ends.insert(at, start + n)
+            out.setdefault(licence, (dice, start, n))
     return out
 
 
@@ -153,13 +158,13 @@ def _scan(templates: list[Template], least: float):
                         for place, g in zip((places - bounds[r]).tolist(), values, strict=True):
                             for k in holders[g]:
                                 own.setdefault(k, []).append((place, g))
-                        found: dict[str, tuple[float, int, int]] = {}
+                        found: dict[str, list[tuple[float, int, int]]] = {}
                         for k, hits in own.items():
                             if len(hits) < need[k]:
                                 continue
-                            dice, start, a = best_run(templates[k], [g for _, g in hits], [p for p, _ in hits], least)
-                            if dice and dice > found.get(templates[k].licence, (0.0,))[0]:
-                                found[templates[k].licence] = (dice, start, a + 1)
+                            some = [(dice, start, a + 1) for dice, start, a in runs(templates[k], [g for _, g in hits], [p for p, _ in hits], least)]
+                            if some:
+                                found.setdefault(templates[k].licence, []).extend(some)
                         rows += [(ids[first + r].as_py(), licence, *x) for licence, x in sorted(apart(found).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "licence", "dice", "first_word", "n_words"])
                 release()
@@ -170,7 +175,8 @@ def _scan(templates: list[Template], least: float):
 def scan_licences(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     """(doc_id, licence, dice, first_word, n_words): for each row of docs (doc_id, text) and licence found in it, its best run.
 
-    A run that overlaps a better one of another licence is left out. Whole texts are scanned. Null and wordless texts hold nothing; of equally good runs the first counts. Repeated rows
+    All runs that reach `least` are compared, best first; one that overlaps a better one that stayed is left out, and the
+    licence's next ones count. Whole texts are scanned. Null and wordless texts hold nothing; of equally good runs the first counts. Repeated rows
     each give their rows. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)

@@ -47,3 +47,17 @@ def test_the_best_of_templates_that_resemble_each_other(spark):
 
 def test_no_hits_in_a_whole_batch(spark):
     assert C.scan_licences(spark.createDataFrame([(1, "ka lo mi"), (2, "tu")], "doc_id long, text string")).count() == 0
+
+
+def test_a_licence_is_found_at_its_own_place_beside_a_sibling(spark):
+    gpl3, gpl2 = (f"This work is licensed under the GNU General Public License, version {v}." for v in (3, 2))
+    between = prose(random.Random(6), 30)
+    docs = [
+        f"{gpl3} {between} {gpl2.replace('Public', 'Open')}",  # the best run of 2 alone is the notice of 3
+        f"{gpl3} {between} {gpl2.removeprefix('This ')}",  # a tie with it
+        f"{gpl3} {between} {gpl3}",
+        f"{gpl3.replace('work', 'thing')} {between} {gpl3} {between} {gpl2.replace('work', 'thing')}",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["licence"], r["first_word"], r["n_words"]) for r in C.scan_licences(df).collect())
+    assert got == [(0, "GPL-2.0", 42, 12), (0, "GPL-3.0", 0, 12), (1, "GPL-2.0", 42, 11), (1, "GPL-3.0", 0, 12), (2, "GPL-3.0", 0, 12), (3, "GPL-2.0", 86, 10), (3, "GPL-3.0", 42, 12)]
