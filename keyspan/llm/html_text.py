@@ -13,6 +13,7 @@ from the start, however varied; an article is content even on a host of one page
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -175,13 +176,18 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]
     return out, [(path, " ".join(children)) for path, children in style]
 
 
+def _said(text: str) -> str:
+    """What stands for a block's text in the entropy: all of it, by its hash where it is long."""
+    return text if len(text) <= 64 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each page adds to its host's tree: a row for each path, presentation and content it has there."""
     for batch in batches:
         hosts, paths, kinds, values = [], [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             said, style = blocks(page or "")
-            seen = {(p, "page", "") for p, _ in style} | {(p, "look", look) for p, look in style} | {(p, "text", t[:4096] + str(len(t))) for p, t, main in said if not main}
+            seen = {(p, "page", "") for p, _ in style} | {(p, "look", look) for p, look in style} | {(p, "text", _said(t)) for p, t, main in said if not main}
             seen |= {(p, "page", "") for p, _, main in said}
             for p, kind, value in seen:
                 hosts.append(host)

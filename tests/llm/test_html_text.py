@@ -57,3 +57,10 @@ def test_importance_is_the_entropy(spark):
     n = 31  # page 0 is there twice
     expected = (math.log(n) - 2 * math.log(2) / n) / math.log(n)
     assert abs(story["importance"] - expected) < 1e-9
+
+
+def test_long_blocks_that_start_alike_differ(spark):
+    same = "word " * 1000
+    rows = [(i, "http://a.test/", f"<body><div class='story'>{same} {i:03}</div></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{same}{i:03}" for i in range(20)}
