@@ -241,12 +241,14 @@ def extract(spark: SparkSession, pages: DataFrame, least: float = LEAST_IMPORTAN
 
     Blocks in page order, joined by a line feed. A null or empty html, or one without content, has the empty text. A
     page without a host is of the host ''. Nodes are noise where importance is below `least` on a host with the node on
-    `least_pages` pages or more. Blocks in an article or main element are always content. Repeated pages count as pages
-    of the host each, and each gets its row.
+    `least_pages` pages or more. Blocks in an article or main element are always content. Pages of a host with the same
+    html count as one in its tree; each gets its row.
     """
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    tree = style_tree(rows)
+    # copies of a page say nothing of what varies on its host
+    different = rows.select("host", "html", F.xxhash64("html").alias("same")).dropDuplicates(["host", "same"])
+    tree = style_tree(different)
     noise = tree.filter((F.col("importance") < least) & (F.col("pages") >= least_pages) & F.col("says")).groupBy("host").agg(F.collect_set("path").alias("noise"))
     noise = stage(spark, noise, "noise")
     size = noise.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("noise", F.lit(0), lambda acc, x: acc + F.octet_length(x))).alias("bytes")).first()

@@ -64,3 +64,13 @@ def test_long_blocks_that_start_alike_differ(spark):
     rows = [(i, "http://a.test/", f"<body><div class='story'>{same} {i:03}</div></body>") for i in range(20)]
     got = {r["page_id"]: r["text"] for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"{same}{i:03}" for i in range(20)}
+
+
+def test_copies_of_a_page_are_one_page_of_the_tree(spark):
+    one = "<body><div class='top'>Our site</div><div class='story'><p>the same long story</p></div></body>"
+    rows = [(i, "http://a.test/", one) for i in range(90)]
+    rows += [(100 + i, "http://a.test/", f"<body><div class='top'>Our site</div><div class='story'><p>story {i}</p></div></body>") for i in range(10)]
+    rows += [(200 + i, "http://b.test/", one) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "the same long story" for i in range(90)) and all(got[100 + i] == f"story {i}" for i in range(10))
+    assert all(got[200 + i] == "Our site\nthe same long story" for i in range(8)) and len(got) == 108
