@@ -38,16 +38,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group of near copies."""
-    gone = near_dup.near_duplicates(spark, docs, percent=85, k=5).filter("not kept").select("doc_id").distinct()
-    return docs.join(stage(spark, gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row, the one with the smallest doc_id, of each group of near copies.
+
+    Rows are judged, not ids: of rows that share the smallest doc_id one stays, and a null doc_id comes after all others.
+    Texts without words are no copies.
+    """
+    columns = docs.columns
+    # written, so that a row keeps its number
+    rows = stage(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_dup.near_duplicates(spark, rows.select(F.col("__row").alias("doc_id"), "text"), percent=85, k=5)
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    ids = found.join(rows.select("__row", "doc_id"), "__row")
+    kept = ids.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).select("first.__row")
+    gone = stage(spark, ids.select("__row").join(kept, "__row", "left_anti"), "copies")
+    return rows.join(gone, "__row", "left_anti").select(*columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows whose text holds a benchmark item, whatever their doc_id, and no others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.find_leaks(spark, docs, items, percent=80).select("doc_id").distinct()
-    return docs.join(stage(spark, gone, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    # a text's 64-bit hash stands for it
+    gone = decontaminate.find_leaks(spark, docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, percent=80).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.join(stage(spark, gone, "leaks"), F.xxhash64("text") == F.col("__text"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,16 @@ def test_texts_that_no_language_claims_are_dropped(spark):
     short = [(1003, "zx.", None)]  # too short to be judged
     df = spark.createDataFrame(docs + odd + short, "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in P.identify_language(spark, df, "").collect()) == [*range(240), 1003]
+
+
+def test_rows_are_judged_and_not_ids(spark, tmp_path):
+    rng = random.Random(8)
+    one, two, clean, item = (prose(rng, 40) for _ in range(4))
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, one), (1, one), (2, one), (None, one), (None, two), (None, two), (3, clean), (3, one)], schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, one), (None, two), (3, clean)], key=str)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, f"{one} {item}"), (1, clean), (None, f"{two} {item}"), (None, two), (2, None)], schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in P.decontaminate_documents(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, clean), (None, two), (2, None)], key=str)
