@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a local session that has none (a test) gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="keyspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,30 +32,45 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows and bytes of the batches that go to Python workers.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches where they have Spark's default sizes.
+    """Bounds the session's Arrow batches, unless it sets their sizes itself.
 
-    A batch is held several times, on either side of the worker's pipe; at the defaults (10,000 rows of whole texts)
-    that is the most that an executor needs.
+    A batch is held several times, on either side of the worker's pipe; at Spark's defaults (10,000 rows of whole texts)
+    that is the most that an executor needs. Operators that return what Python makes need the setting when their result
+    is read, so it stays.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    given = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in given:
+            spark.conf.set(key, value)
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def unused(columns: list[str], name: str) -> str:
+    """The name, made longer until it is none of the columns' (which Spark tells apart without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
 
-    A lost executor costs only the tasks it had: nothing is kept on one machine.
+    A lost executor costs only the tasks it had: nothing is kept on one machine. Tables that hold whole texts are worth
+    the closer packing of zstd.
     """
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by stage() that nothing will read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,21 +1,21 @@
 """Words, shingles and their 64-bit hashes over Arrow text columns, vectorised over bytes.
 
 A word's hash is a polynomial over its bytes modulo 2^64, taken as a difference of prefix sums, then mixed.
-Texts are worked in pieces of bounded size, so a very long text costs memory in proportion to its own length only.
+Texts are worked in pieces of bounded size, so a very long text, or word, costs little memory beside its own.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACES = np.zeros(256, dtype=bool)
@@ -34,11 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a piece with a separator after each of its texts has bytes."""
     mask = (1 << 64) - 1
-    inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        up, down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b & mask, dtype=np.uint64))]) for b in (_BASE, inverse))
+        up, down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * PIECE + 2, b & mask, dtype=np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     return up, down
 
 
@@ -55,9 +55,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def _piece_words(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, hash of each word) for bytes of at most a piece or one word."""
-    up, down = _powers(max(PIECE, len(data)) if len(data) > PIECE else PIECE)
+def _piece_words(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial) of each word of a piece's bytes."""
+    up, down = _powers()
     sep = np.empty(len(data) + 2, dtype=bool)
     sep[0] = sep[-1] = True
     np.take(separators, data, out=sep[1:-1])
@@ -65,7 +65,31 @@ def _piece_words(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray,
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * down[starts])
+    return starts, ends, (total[ends] - total[starts]) * down[starts]
+
+
+def _long_text(data: np.ndarray, separators: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text of several pieces; words may be longer than a piece."""
+    parts: list[np.ndarray] = []
+    open_word, open_bytes = 0, 0  # a word that the piece before ended in
+    for lo in range(0, len(data), PIECE):
+        piece = data[lo : lo + PIECE]
+        starts, ends, words = _piece_words(piece, separators)
+        last = int(ends[-1] - starts[-1]) if len(ends) else 0
+        if open_bytes:
+            if len(starts) and starts[0] == 0:
+                words[0] = np.uint64((open_word + pow(_BASE, open_bytes, 1 << 64) * int(words[0])) & ((1 << 64) - 1))
+                last += open_bytes if len(ends) == 1 else 0
+            else:
+                parts.append(np.array([open_word], dtype=np.uint64))
+        if len(ends) and ends[-1] == len(piece):
+            open_word, open_bytes, words = int(words[-1]), last, words[:-1]
+        else:
+            open_word, open_bytes = 0, 0
+        parts.append(words)
+    if open_bytes:
+        parts.append(np.array([open_word], dtype=np.uint64))
+    return mix(np.concatenate(parts))
 
 
 def word_hashes(column: pa.Array, separators: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,17 +100,10 @@ def word_hashes(column: pa.Array, separators: np.ndarray = SPACES) -> Iterator[t
     offsets, data = text_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+        last = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1), row + PIECE)
         lo, hi = int(offsets[row]), int(offsets[last])
         if last == row + 1 and hi - lo > PIECE:
-            parts = []
-            while lo < hi:
-                cut = min(lo + PIECE, hi)
-                while cut < hi and not separators[data[cut]]:  # a piece ends between words
-                    cut += 1
-                parts.append(_piece_words(data[lo:cut], separators)[1])
-                lo = cut
-            hashes = np.concatenate(parts)
+            hashes = _long_text(data[lo:hi], separators)
             yield row, last, np.array([0, len(hashes)]), hashes
         else:
             # texts must not run into each other: a separator goes between them
@@ -95,8 +112,8 @@ def word_hashes(column: pa.Array, separators: np.ndarray = SPACES) -> Iterator[t
             room = np.full(hi - lo + last - row, 0x20, dtype=np.uint8)
             to = np.arange(hi - lo) + np.repeat(gaps[:-1], np.diff(own))
             room[to] = data[lo:hi]
-            starts, hashes = _piece_words(room, separators)
-            yield row, last, np.searchsorted(starts, own + gaps), hashes
+            starts, _, words = _piece_words(room, separators)
+            yield row, last, np.searchsorted(starts, own + gaps), mix(words)
         row = last
 
 
@@ -134,6 +151,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with memory given back when a task is done with its batches and nothing refers to them any more."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return to_the_end
+
+
 def list_column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """An Arrow list<int64> column from flat 64-bit values and row bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
