@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stage
+from keyspan.llm.common import drop, stage
 
 
 def _roots(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -20,9 +20,10 @@ def _roots(spark: SparkSession, links: DataFrame) -> DataFrame:
     ptr = stage(spark, links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "pointers")
     while True:
         up = ptr.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        ptr = stage(spark, ptr.join(up, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), "pointers")
+        last, ptr = ptr, stage(spark, ptr.join(up, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), "pointers")
+        drop(last)
         if not ptr.filter("moved").limit(1).count():
-            return ptr.select("node", "root")
+            return ptr
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -38,11 +39,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         ends = label.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         other = label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = both.join(ends, "a").join(other, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        both = stage(spark, left, "links")
+        last, both = both, stage(spark, left, "links")
+        drop(last)
         if not both.limit(1).count():
             return label.select("node", F.col("root").alias("component"))
-        up = _roots(spark, both).select(F.col("node").alias("root"), F.col("root").alias("next"))
-        label = stage(spark, label.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        roots = _roots(spark, both)
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        last, label = label, stage(spark, label.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        drop(last, roots)
 
 
 def smallest_reachable(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:

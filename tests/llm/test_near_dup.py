@@ -39,8 +39,11 @@ def test_links_and_components_are_exact(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), roots[i], roots[i] == i), texts[i]
 
 
-def test_blocks_of_a_large_family_miss_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, N.SMALL])
+def test_blocks_of_a_large_family_miss_nothing(spark, monkeypatch, small):
+    """The leader doesn't hold all, so blocks are compared; tables are joined or, if small, sent along."""
     monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "SMALL", small)
     rng = random.Random(3)
     base = prose(rng, 120)
     texts = [edited(rng, base, rng.choice([0.005, 0.01, 0.02, 0.04])) for _ in range(60)]
@@ -57,6 +60,14 @@ def test_edges(spark):
     assert got == [(False, 2, 2, 2, True), (False, 5, 2, 2, False), (False, 5, 2, 2, False), (False, 7, 0, 7, True), (False, 7, 0, 7, True), (True, None, 2, None, True)]
 
 
+def test_an_id_with_several_texts(spark):
+    rng = random.Random(2)
+    one, two, other = (prose(rng, 60) for _ in range(3))
+    docs = [(5, one), (5, two), (5, two), (9, edited(rng, two, 0.01)), (3, edited(rng, one, 0.01)), (7, other)]
+    got = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}  # different texts named by one id share its node
+
+
 def test_words_and_shingles():
     texts = corpus()
     seen = {}
