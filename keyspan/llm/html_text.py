@@ -315,7 +315,7 @@ def extract(spark: SparkSession, pages: DataFrame, least: float = LEAST_IMPORTAN
     table gives an empty result.
     """
     small_batches(spark)
-    parsed = stage(spark, parse_pages(pages), "parsed-pages")
+    parsed = stage(spark, parse_pages(pages), "parsed-pages", "zstd")
     low = style_tree(parsed).filter(F.col("importance") < least)
     noise = stage(spark, low.groupBy("host").agg(F.collect_set("node").alias("noise")), "noise")
     n = noise.agg(F.sum(F.size("noise"))).first()[0] or 0
