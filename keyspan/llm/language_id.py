@@ -14,19 +14,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyspan.llm.common import small_batches
-from keyspan.llm.tokens import PIECE, release, text_buffers
+from keyspan.llm.tokens import PIECE, releasing, text_buffers
 
-#: Documents of each language that a model is fitted on: those whose hashed id is smallest, by an expected count.
+#: Different texts of each language that a model is fitted on: those with the smallest hashes.
 SAMPLE = 250
-#: Documents of all languages together that it is fitted on; with many languages each has fewer.
+#: Texts of all languages together that it is fitted on; with many languages each has fewer, but one at least.
 SAMPLE_IN_ALL = 2000
 #: Landmarks, spread evenly over the sample.
 LANDMARKS = 256
-#: Languages a model can hold.
-MOST_LANGUAGES = 200
 RIDGE = 1e-4
 UNKNOWN = "und"
 #: Places of 1-, 2- and 3-grams. Two- and three-grams are hashed.
@@ -79,23 +79,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """A model from labelled (doc_id, text, lang); rows without lang are left out.
+    """A model from labelled (text, lang); rows without either are left out. Every language of any row is learned.
 
-    Languages are counted over all rows; about `sample` documents of each (SAMPLE_IN_ALL together), chosen by hashed id,
-    are used, whatever the table holds, and no more than twice as many; only their n-gram places come to the driver.
+    Of each language the `sample` different texts with the smallest hashes are used (SAMPLE_IN_ALL together, but one of
+    each), however often they are there and under whatever ids: the model depends on the rows alone, not on their order.
+    Only their n-gram places come to the driver.
     """
     small_batches(spark)
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = tuple(sorted(counts))
+    rows = labelled.filter("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit("sample"), "text").alias("h"))
+    texts = {x["lang"]: x["n"] for x in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    languages = tuple(sorted(texts))
     if not languages:
         return Model((), np.zeros((WIDTH, 0), np.float32))
     sample = max(1, min(sample, SAMPLE_IN_ALL // len(languages)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    found = chosen.select("text", "lang").mapInArrow(_features, "lang string, places array<int>").limit(6 * sample * len(languages)).toArrow()
+    # about three times the sample is below the bound, so that the smallest hashes are among it
+    bounds = [int(min(1.0, 3 * max(sample, 20) / max(1, texts[lang])) * (1 << 40)) for lang in languages]
+    bound = spark.createDataFrame(pa.table({"lang": pa.array(languages, pa.string()), "bound": pa.array(bounds, pa.int64())}))
+    below = rows.join(F.broadcast(bound), "lang").filter(F.pmod("h", F.lit(1 << 40)) <= F.col("bound")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = below.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).filter(F.col("nth") <= sample)
+    found = chosen.select("text", "lang").mapInArrow(releasing(_features), "lang string, places array<int>").toArrow()
     found = list(zip(found["lang"].to_pylist(), (x.values.to_numpy() for x in found["places"]), strict=True))
     found.sort(key=lambda x: (x[0], x[1].tobytes()))  # the order that rows arrive in must not matter
     if not found:
@@ -142,23 +144,22 @@ def score(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """docs (text, any others) with the predicted language and its score; columns of their names are replaced.
+    """docs (text, any others) with the predicted language and its score; columns of these two names are replaced.
 
-    Whole texts are looked at. A null text, or one without a letter, is `und` with score 0. If nothing was learned,
-    every text is `und`.
+    Whole texts are looked at. A null text, or one without a letter, is `und` with score 0; if nothing was learned, every
+    text is. Repeated rows each get theirs; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(pred, score_as)
-    schema = docs.schema
-    docs_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score_as, T.DoubleType())])
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score_as])
-            release()
+            names, scores = score(model, batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, docs_schema + f", `{pred}` string, `{score_as}` double")
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
