@@ -7,14 +7,17 @@ locality-sensitive hash. Symbols here are words (ASCII without case and punctuat
 
 Windows start at every word of a document. The sampled places lie among a walk's first STEPS steps, so one walk serves
 the windows of all item sizes; items in turn are entered at each of their words, so an edit near an item's start costs
-nothing, and each of REPEATS repetitions has its own random bits and places. A hit proposes where an item would lie;
-the item's edit distance to the text there is then computed exactly (Myers' bit-parallel search, free at both ends).
+nothing, and each repetition has its own random bits and places. There are as many of them as an item needs to be hit
+with the target recall however its permitted edits are spread: e edits leave e + 1 runs of words unharmed, and one
+repetition misses one such run with a probability of MISS at most. A hit proposes where an item would lie; the item's
+edit distance to the text there is then computed exactly (Myers' bit-parallel search, free at both ends).
 
 A walk is given up as soon as the places sampled so far occur in no item, which loses nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,9 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import small_batches
-from keyspan.llm.tokens import PUNCTUATION, mix, release, word_hashes
+from keyspan.llm.tokens import PUNCTUATION, mix, releasing, word_hashes
 
-STEPS, PLACES, REPEATS = 14, 9, 4
+STEPS, PLACES = 14, 9
+#: Least recall aimed at, the fewest repetitions, and the measured worst case of one (edits spread evenly, so that runs are shortest).
+RECALL, REPEATS, MISS = 0.99, 4, 0.87
+#: Repetitions that share one word of random bits.
+_TOGETHER = 4
 #: Bytes of items searched for at once; more items are taken in blocks.
 ITEM_BYTES = 8 << 20
 #: Bits of the tables that end hopeless walks.
@@ -44,6 +51,7 @@ class Probe(NamedTuple):
 
     steps: int
     places: tuple[int, ...]
+    salt: int
     shift: int
     tables: list[np.ndarray]  # after each sampled place but the last: which prefixes of keys occur
     keys: np.ndarray
@@ -63,8 +71,14 @@ def allowed(words: int, percent: int) -> int:
     return words * (100 - percent) // 100
 
 
-def _bits(words: np.ndarray) -> np.ndarray:
-    return mix(words ^ np.uint64(0xA5A5A5A5DEADBEEF))
+def repeats(words: int, percent: int) -> int:
+    """Repetitions after which an item of so many words with all its permitted edits is hit with a probability of RECALL."""
+    edits = allowed(words, percent)
+    return max(REPEATS, math.ceil(math.log(1 - RECALL) / ((edits + 1) * math.log(MISS)))) if edits else 1
+
+
+def _bits(words: np.ndarray, salt: int) -> np.ndarray:
+    return mix(words ^ np.uint64((0xA5A5A5A5DEADBEEF + salt * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -105,15 +119,16 @@ def build_index(items: list[tuple[int | None, str | None]], percent: int) -> Ind
     with np.errstate(over="ignore"):
         # a walk of an item shorter than STEPS must not leave it, so such items have walks as long as they are
         for steps in sorted({min(STEPS, len(x.words)) for x in known}):
-            some = [i for i, x in enumerate(known) if min(STEPS, len(x.words)) == steps]
-            for repeat in range(REPEATS):
-                probe = Probe(steps, _places(steps, repeat), repeat * STEPS, [], None, None, None)
+            often = {i: repeats(len(x.words), percent) for i, x in enumerate(known) if min(STEPS, len(x.words)) == steps}
+            for repeat in range(max(often.values())):
+                some = [i for i, n in often.items() if n > repeat]
+                probe = Probe(steps, _places(steps, repeat), repeat // _TOGETHER, repeat % _TOGETHER * STEPS, [], None, None, None)
                 found = {n: [] for n in range(len(probe.places))}
                 rows = []
                 for i in some:
                     words = np.concatenate([known[i].words, np.zeros(steps + 1, np.uint64)])
                     n = len(known[i].words)
-                    walk = _walk(words, _bits(words), np.arange(n), probe)
+                    walk = _walk(words, _bits(words, probe.salt), np.arange(n), probe)
                     trail = list(walk)
                     inside = trail[-1][1] < n  # the walk stays in the item up to its last place
                     for depth, (key, _, _) in enumerate(trail):
@@ -136,10 +151,12 @@ def candidates(index: Index, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(place in words, item, place in item) of all hits in a run of words."""
     out = []
     padded = np.concatenate([words, np.zeros(STEPS + 1, np.uint64)])
-    bits = _bits(padded)
-    starts = np.flatnonzero(index.first[_slot(_first_key(words))])
+    bits = {salt: _bits(padded, salt) for salt in {probe.salt for probe in index.probes}}
+    slots = _slot(_first_key(words))
+    starts = np.flatnonzero(index.first[slots])
     for probe in index.probes:
-        walk = _walk(padded, bits, starts, probe)
+        own = starts[probe.tables[0][slots[starts]]] if probe.tables else starts
+        walk = _walk(padded, bits[probe.salt], own, probe)
         key, _, start = next(walk)
         for table in probe.tables:
             key, _, start = walk.send(np.flatnonzero(table[_slot(key)]))
@@ -251,9 +268,8 @@ def _leaks(index: Index):
                         n = len(index.items[i].words)
                         rows.append((ids[first + r].as_py(), index.items[i].item_id, edits, n, end, 1 - edits / n))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kind) for c, kind in enumerate(kinds)], names=names)
-                release()
 
-    return run
+    return releasing(run)
 
 
 def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

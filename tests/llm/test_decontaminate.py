@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyspan.llm import decontaminate as D
@@ -88,3 +90,23 @@ def test_items_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("words,edits", [(1, 0), (4, 0), (5, 1), (36, 7)])
 def test_allowed(words, edits):
     assert D.allowed(words, 80) == edits
+
+
+@pytest.mark.parametrize("even", [True, False])
+@pytest.mark.parametrize("words", [5, 10, 12, 15, 20, 30, 60])
+def test_recall_with_all_permitted_edits(words, even):
+    """Repetitions follow from the target recall: short items with all their edits, even evenly spread, are found as well."""
+    rng = random.Random(words)
+    known = [f"w{i}" for i in range(2000)]
+    items = [[rng.choice(known) for _ in range(words)] for _ in range(150)]
+    index = D.build_index([(i, " ".join(x)) for i, x in enumerate(items)], 80)
+    edits, hits = D.allowed(words, 80), 0
+    assert len({p.salt for p in index.probes}) == -(-D.repeats(words, 80) // 4)
+    for i, item in enumerate(items):
+        places = {int((e + 0.5) * words / edits) for e in range(edits)} if even else set(rng.sample(range(words), edits))
+        harmed = [y for at, x in enumerate(item) for y in ([x] if at not in places else rng.choice([["zz"], [], [x, "yy"]]))]
+        text = [rng.choice(known) for _ in range(9)] + harmed + [rng.choice(known) for _ in range(9)]
+        with np.errstate(over="ignore"):
+            hashes = next(D.word_hashes(pa.array([" ".join(text)]), D.PUNCTUATION))[3]
+            hits += any(found[1] == i for found in D._search(index, {}, hashes, np.array([0, len(hashes)])))
+    assert hits >= 0.97 * len(items)
