@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import stage
+from keyspan.llm.common import drop, stage
 
 #: Blocks of a source's permutation: the leading bits of the documents' keys.
 BLOCK_BITS = 12
@@ -24,9 +24,13 @@ SMALL = 100_000
 STEPS = 60
 
 
+#: A word: a run without ASCII white space.
+TOKEN = r"[^\x20\x09-\x0D]+"
+
+
 def n_tokens(text: Column) -> Column:
-    """Words: runs without ASCII white space. Null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """The number of words. Null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def _key(seed: int) -> Column:
@@ -82,17 +86,19 @@ def source_weights(totals: DataFrame, target_entropy: float, most_repeats: float
     return rows.select("s.source", "s.tokens", "alpha", weight.alias("weight"), F.round(weight * F.col("budget")).cast("long").alias("quota"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float = 0.98, most_repeats: float = 2.0, budget: int | None = None, seed: int = 0) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float = 0.98, most_repeats: float = 2.0, budget: int | None = None, seed: int = 0, prefix: str = "mix_") -> DataFrame:
     """docs (doc_id, text, source, any others) with mix_tokens, mix_alpha, mix_weight, mix_quota and mix_copies.
 
     mix_copies is how often a document is in the mix: its source's whole passes, and one more for documents at the
     front of the permutation until the quota is used up (to less than a document). A null source is a source of its
     own. Documents without tokens cost nothing and are in the mix once; a source of only those has a null weight. Rows
     that repeat a doc_id of a source stand at one place of the permutation and are in or out together. Columns of docs
-    that begin with mix_ are replaced, others stay. An empty table gives an empty result.
+    that begin with the prefix are replaced, others stay. An empty table gives an empty result.
     """
     light = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"))
-    light = light.filter("tokens > 0").withColumn("key", _key(seed)).withColumn("block", F.shiftright("key", 63 - BLOCK_BITS))
+    # written, so that texts are gone through once
+    counted = stage(spark, light.filter("tokens > 0").select("source", "tokens", _key(seed).alias("key")), "tokens")
+    light = counted.withColumn("block", F.shiftright("key", 63 - BLOCK_BITS))
     blocks = stage(spark, light.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     weights = source_weights(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")), target_entropy, most_repeats, budget)
     weights = stage(spark, weights.withColumn("passes", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens")), "weights")
@@ -112,21 +118,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, target_entropy: float = 0.
     cut = fits.groupBy("source").agg(F.max("key").alias("cut"))
     plan = weights.join(last, of_source(weights, last), "left").drop(last["source"]).drop("left")
     plan = plan.join(cut, of_source(plan, cut), "left").drop(cut["source"])
-    plan = stage(spark, plan.select(F.col("source").alias("mix_source"), F.col("alpha").alias("mix_alpha"), F.col("weight").alias("mix_weight"), F.col("quota").alias("mix_quota"), F.col("passes").alias("mix_passes"), F.col("block").alias("mix_end_block"), F.col("cut").alias("mix_end_key")), "plan")
+    col = lambda name: F.col(prefix + name)
+    plan = stage(spark, plan.select(F.col("source").alias(prefix + "source"), F.col("alpha").alias(prefix + "alpha"), F.col("weight").alias(prefix + "weight"), F.col("quota").alias(prefix + "quota"), F.col("passes").alias(prefix + "passes"), F.col("block").alias(prefix + "end_block"), F.col("cut").alias(prefix + "end_key")), "plan")
+    drop(counted, blocks, weights, last)
 
-    rows = docs.drop("mix_source", "mix_alpha", "mix_weight", "mix_quota", "mix_tokens", "mix_copies", "mix_passes", "mix_end_block", "mix_end_key").withColumn("mix_tokens", n_tokens(F.col("text")))
-    rows = rows.join(near(plan), F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
+    rows = docs.drop(*[c for c in docs.columns if c.lower().startswith(prefix.lower())])
+    rows = rows.join(near(plan), F.col("source").cast("string").eqNullSafe(col("source")), "left")
     key = _key(seed)
     block = F.shiftright(key, 63 - BLOCK_BITS)
     # no end: the rest of the quota is nothing, and no block was entered
-    extra = (block < F.col("mix_end_block")) | ((block == F.col("mix_end_block")) & (key <= F.col("mix_end_key")))
-    copies = F.when(F.col("mix_tokens") == 0, 1).otherwise(F.col("mix_passes") + F.coalesce(extra, F.lit(False)).cast("long"))
-    return rows.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_passes", "mix_end_block", "mix_end_key")
+    extra = (block < col("end_block")) | ((block == col("end_block")) & (key <= col("end_key")))
+    some = F.coalesce(F.col("text").rlike(TOKEN), F.lit(False))
+    rows = rows.withColumn(prefix + "tokens", n_tokens(F.col("text"))).withColumn(prefix + "copies", F.when(some, col("passes") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(1).cast("int"))
+    return rows.drop(*[prefix + x for x in ("source", "passes", "end_block", "end_key")])
 
 
-def realised(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def realised(mixed: DataFrame, columns: list[str], prefix: str = "mix_") -> DataFrame:
     """The mix itself: each document as often as mix_copies says, with these columns."""
-    return mixed.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns)
+    copies = F.col(prefix + "copies")
+    return mixed.filter(copies > 0).withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), copies))).select(*columns)
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
