@@ -120,10 +120,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), "^[^/?#]*([^?#]*)", 1)
 
 
-def probes_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """The keys a url can be listed under, the longest first: each of host and its parents with each prefix of a length."""
+def probes_of(host: Column, path: Column, lengths: Sequence[int], most_labels: int) -> Column:
+    """The keys a url can be listed under, the longest first: each of host and its parents with each prefix of a length.
+
+    Only those of at most as many labels as any rule has: a host of very many labels has no more keys than others.
+    """
     labels = F.split(host, "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = F.flatten(F.array(*[F.when(F.length(path) >= n, F.transform(hosts, lambda h: F.struct((-F.length(h) - n).alias("size"), (-F.length(h)).alias("of_host"), F.concat(h, path.substr(1, n)).alias("key"), (h != "").alias("named")))).otherwise(F.array().cast("array<struct<size:int,of_host:int,key:string,named:boolean>>")) for n in lengths]))
     return F.transform(F.array_sort(F.filter(keys, lambda x: x["named"])), lambda x: x["key"])
 
@@ -133,12 +136,14 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest that fits wins (of two
     as long, the one with the longer host). Where none fits the url is not listed, and the verdict is default. A null
-    url, or one without ://, has an empty host and path, which no rule fits. Repeated rows are judged one by one.
+    url, or one without ://, has an empty host and path, which no rule fits. Repeated rows are judged one by one. Hosts
+    and paths may be of any length: a url has as many keys as the rules have labels and lengths, at most.
     """
     lengths = sorted({len(path) for _, _, path in rules})
+    most_labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    probed = urls.withColumn("probes", probes_of(F.col("host"), F.col("path"), lengths))
-    table = spark.createDataFrame([(host + path, action) for action, host, path in rules], "key string, action string")
+    probed = urls.withColumn("probes", probes_of(F.col("host"), F.col("path"), lengths, most_labels))
+    table = spark.createDataFrame(pa.table({"key": pa.array([host + path for _, host, path in rules], pa.string()), "action": pa.array([action for action, _, _ in rules], pa.string())}))
     universe = probed.select(F.explode("probes").alias("key")).distinct().join(table, "key", "left")
     universe = stage(spark, universe.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "action"), "universe")
     actions = sorted({x[0] for x in rules})
