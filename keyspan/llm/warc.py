@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import new_path, small_batches, stage
+from keyspan.llm.tokens import releasing
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -100,7 +101,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: i
     # who revisits whom travels to the records as rows of its own, so the payloads move once only
     notes = light.join(first, "digest").filter("not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
     both = rows.withColumns({"digest": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long")}).unionByName(notes.withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}))
-    ordered = both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions(F.col("page_id"), F.col("payload").isNotNull(), "url", F.col("payload"))
+    ordered = both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions(F.col("page_id"), F.col("payload").isNotNull(), "url", F.xxhash64("payload"))
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
 
@@ -124,7 +125,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, folder: str, roll_bytes: i
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out.done, strict=True) if out.done else [()] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "records", "bytes", "sha256", "first_id", "last_id"])
 
-    return stage(spark, ordered.mapInArrow(run, _MANIFEST), "manifest")
+    return stage(spark, ordered.mapInArrow(releasing(run), _MANIFEST), "manifest")
 
 
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -172,7 +173,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 yield _batch(rows)
 
     spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return spread.mapInArrow(run, _READ)
+    return spread.mapInArrow(releasing(run), _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
