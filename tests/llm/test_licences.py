@@ -61,3 +61,23 @@ def test_a_licence_is_found_at_its_own_place_beside_a_sibling(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = sorted((r["doc_id"], r["licence"], r["first_word"], r["n_words"]) for r in C.scan_licences(df).collect())
     assert got == [(0, "GPL-2.0", 42, 12), (0, "GPL-3.0", 0, 12), (1, "GPL-2.0", 42, 11), (1, "GPL-3.0", 0, 12), (2, "GPL-3.0", 0, 12), (3, "GPL-2.0", 86, 10), (3, "GPL-3.0", 42, 12)]
+
+
+def test_whole_licence_texts_are_found_where_they_stand(spark):
+    """The longest template of each licence, alone, between other words, and with every tenth word changed."""
+    rng = random.Random(11)
+    longest = {}
+    for name, text in C.TEMPLATES:
+        longest[name] = max(longest.get(name, ""), text, key=len)
+    docs, want = [], {}
+    for name, text in longest.items():
+        for harmed in (False, True):
+            ws = [w if not harmed or len(text.split()) < 40 or i % 25 != 7 else "harmed" for i, w in enumerate(text.split())]
+            want[len(docs)] = name
+            docs.append(f"{prose(rng, 20)} {' '.join(ws)} {prose(rng, 20)}")
+    got = {}
+    for r in C.scan_licences(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], {})[r["licence"]] = (r["dice"], r["first_word"])
+    for i, name in want.items():
+        assert name in got[i] and got[i][name][1] in range(18, 23), (i, name, got.get(i))
+        assert max(got[i], key=lambda x: got[i][x][0]) == name
