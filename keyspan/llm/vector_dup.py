@@ -1,11 +1,12 @@
 """Near-duplicate vectors: exact threshold pairs by dual traversal of cover trees.
 
 Vectors are unit directions in double precision; cosine >= c is a chord of at most sqrt(2 - 2c), a metric. Equal
-vectors of a label are one point with a multiplicity. Points of a label are dealt into cells around centres (one level
-of a cover tree over a bounded sample, so that near points meet) and cells into blocks of bounded size. Each pair of
-blocks whose covering balls come near enough is one task: it builds a cover tree of each block (nested levels whose
-radii halve) and walks the two together, dropping a pair of nodes when centre distance less both covering radii exceeds
-the threshold and taking it whole when centre distance plus both radii is within it. A task returns numbers of links
+vectors of a label are one point with a multiplicity. The points of each label are a tree of cells: a cell of more points
+than a block is dealt among centres of its own, and each of those again, so the tree grows with the label and every leaf
+is a block. Pairs of cells are walked down together from the root, level by level: a pair goes on to its children's pairs
+only while the distance of the centres less both covering radii is within the threshold. Each pair of leaves that is left
+is one unit of work: it builds a cover tree of either block (nested levels whose radii halve) and walks the two in the same way,
+taking a pair of nodes whole when centre distance plus both radii is within the threshold. A unit returns numbers of links
 and a spanning set of its links, both linear in its points: pairs are never written out.
 """
 
@@ -17,15 +18,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import stage
 from keyspan.llm.components import components, smallest_reachable
 
-#: Points of a block.
-BLOCK = 1024
-#: Points that centres are chosen from, and the most centres.
-SAMPLE, CENTRES = 4096, 256
+#: Points of a block, and the most centres among which a larger cell is dealt.
+BLOCK, FAN = 1024, 32
+#: A child's number is its parent's times BASE and its place from 1; there are so many levels that numbers stay in a long.
+BASE, LEVELS = 64, 9
+#: Points that are dealt by one task call, and cells up to which a table of them is sent to all tasks.
+CHUNK, SMALL = 4096, 200_000
 #: Slack of bounds in double precision; pairs within it are decided by their own cosine.
 EPS = 1e-9
 
@@ -173,11 +177,96 @@ def link_blocks(xa: np.ndarray, ma: np.ndarray, xb: np.ndarray | None, mb: np.nd
     return links, smallest_reachable(n, np.concatenate([none, *ps]), np.concatenate([none, *qs]))
 
 
-def centres_of(sample: np.ndarray, want: int) -> np.ndarray:
-    """The nodes of the first cover tree level with at least `want` nodes, cut to the farthest-first `want` of them."""
-    if len(sample) <= want:
-        return sample
-    return CoverTree(sample, 0.0 if len(sample) <= 512 else 0.5).x[:want]
+_POINT = "label string, d int, v array<double>, rep long, copies long, cell long, far double"
+_KEYS = ["label", "d", "cell"]
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.tolist())
+
+
+def _deal(points: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Points of a part of a cell, each given to its nearest centre; far is its distance from it."""
+    if not len(points) or not len(centres):
+        return points.iloc[:0].drop(columns=["chunk"]).assign(far=0.0)
+    x, c = _matrix(points["v"]), _matrix(centres["centre"])
+    dots = x @ c.T
+    pick = dots.argmax(axis=1)
+    # measured on the difference, for 2 - 2 cos loses half the digits of small distances
+    far = np.linalg.norm(x - c[pick], axis=1)
+    return points.drop(columns=["chunk"]).assign(cell=centres["child"].to_numpy()[pick], far=far)
+
+
+def split_cells(spark: SparkSession, points: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(points (label, d, v, rep, copies, cell, far) in leaves, nodes (label, d, cell, centre, radius)): the tree of cells of each label.
+
+    The root is 0 and has no node. Centres are the points with the smallest hashes, so cells are as dense as their points,
+    whatever the order of rows. After LEVELS levels a cell stays as it is.
+    """
+    rows = points.select("label", "d", "v", "rep", "copies", F.lit(0).cast("long").alias("cell"), F.lit(2.0).alias("far"))
+    nodes = None
+    for level in range(LEVELS):
+        big = stage(spark, rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "big-cells")
+        if not (cells := big.count()):
+            break
+        near_big = F.broadcast(big) if cells <= SMALL else big
+        inside = rows.join(near_big, _KEYS)
+        fan = F.least(F.lit(FAN), F.ceil(2 * F.col("n") / block))
+        hashed = inside.select(*_KEYS, "v", "n", F.pmod(F.xxhash64(F.lit(level), "rep"), F.lit(1 << 40)).alias("h"), "rep").filter(F.col("h") < (1 << 40) * 3 * F.greatest(fan, F.lit(16)) / F.col("n"))
+        nth = F.row_number().over(W.partitionBy(*_KEYS).orderBy("h", "rep"))
+        centres = stage(spark, hashed.withColumn("nth", nth).filter(F.col("nth") <= fan).select(*_KEYS, (F.col("cell") * BASE + F.col("nth")).alias("child"), F.col("v").alias("centre"), "n"), "centres")
+        parts = F.ceil(F.col("n") / CHUNK)
+        left = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), parts)).drop("n").groupBy(*_KEYS, "chunk")
+        right = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n").groupBy(*_KEYS, "chunk")
+        dealt = stage(spark, left.cogroup(right).applyInPandas(_deal, _POINT), "dealt")
+        radii = dealt.groupBy(*_KEYS).agg(F.max("far").alias("radius"))
+        own = centres.select("label", "d", F.col("child").alias("cell"), "centre").join(radii, _KEYS)
+        nodes = own if nodes is None else nodes.unionByName(own)
+        rows = stage(spark, rows.join(near_big.select(*_KEYS), _KEYS, "left_anti").unionByName(dealt), "cells")
+    return rows, None if nodes is None else stage(spark, nodes, "nodes")
+
+
+def _near_cells(reach: float):
+    """Keeps pairs (ca, ra, cb, rb) of cells whose balls come within reach of each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ca, cb = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) if len(set(batch.column(c).value_lengths().to_pylist())) == 1 else None for c in ("ca", "cb"))
+            if ca is None or cb is None:  # labels of several lengths in one batch
+                gap = np.array([np.linalg.norm(np.array(x) - np.array(y)) for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), strict=True)])
+            else:
+                gap = np.linalg.norm(ca - cb, axis=1)
+            keep = gap - batch.column("ra").to_numpy() - batch.column("rb").to_numpy() <= reach + EPS
+            yield batch.select(["label", "d", "a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def near_cells(spark: SparkSession, leaves: DataFrame, nodes: DataFrame | None, reach: float) -> DataFrame:
+    """(label, d, a, b): pairs of leaves, each with itself and a < b of others, whose points may be within reach; leaves are (label, d, cell)."""
+    roots = leaves.select("label", "d").distinct()
+    pairs = roots.select("label", "d", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    if nodes is None:
+        return pairs
+    below = nodes.select("label", "d", (F.col("cell") - F.pmod("cell", F.lit(BASE))).alias("up"), "cell", "centre", "radius").withColumn("up", F.expr(f"up div {BASE}"))
+    # a leaf is its own child, so that pairs whose sides end on different levels wait for each other
+    ended = nodes.join(leaves.withColumn("leaf", F.lit(True)), _KEYS).select("label", "d", F.col("cell").alias("up"), "cell", "centre", "radius")
+    down = stage(spark, below.unionByName(ended), "children")
+    single = leaves.filter("cell = 0").select("label", "d", "cell")
+    one = down.select("label", "d", F.col("up").alias("pa"), F.col("cell").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
+    two = down.select("label", "d", F.col("up").alias("pb"), F.col("cell").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+    deepest = nodes.agg(F.max("cell")).first()[0]
+    levels = 0
+    while deepest:
+        deepest, levels = deepest // BASE, levels + 1
+    open_ = pairs.withColumnsRenamed({"a": "pa", "b": "pb"})
+    for _ in range(levels):
+        both = open_.join(one, ["label", "d", "pa"]).join(two, ["label", "d", "pb"]).filter("pa <> pb or a <= b")
+        kept = stage(spark, both.select("label", "d", "a", "b", "ca", "ra", "cb", "rb").mapInArrow(_near_cells(reach), "label string, d int, a long, b long"), "cell-pairs")
+        open_ = kept.withColumnsRenamed({"a": "pa", "b": "pb"})
+    return open_.select("label", "d", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).unionByName(single.select("label", "d", F.col("cell").alias("a"), F.col("cell").alias("b")))
 
 
 def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, block: int = BLOCK) -> DataFrame:
@@ -200,51 +289,16 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = 0.93, b
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     points = rows.filter("v is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("norm", norm)
     points = stage(spark, points.select(*same, F.size("v").alias("d"), F.transform("v", lambda x: x / F.col("norm")).alias("v"), "rep", "copies"), "points")
-    per = points.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n"))
-    largest = per.agg(F.max("n")).first()[0] or 0
-    # centres: as many as blocks that the largest label needs; the sample is of SAMPLE points at most
-    dims = points.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = dims[0]["d"] if dims else 0
-    # in all, no more values than 2^20 come to the driver
-    most = max(1, min(SAMPLE, (1 << 20) // max(1, d)))
-    sample = [x["v"] for x in points.filter(F.col("d") == d).select("k1", "k2", "label", "v").orderBy("k1", "k2", "label").limit(most if largest > block else 1).collect()]
-    want = min(CENTRES, max(1, -(-largest // block)))
-    centres = centres_of(np.array(sample), want) if sample else np.zeros((0, d))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ds = batch.column("d").to_numpy()
-            cell, far = np.full(len(ds), -1, dtype=np.int64), np.full(len(ds), 2.0)
-            at = np.flatnonzero(ds == d)
-            if len(at):
-                x = np.array(batch.column("v").take(pa.array(at)).flatten().to_numpy()).reshape(len(at), d)
-                dots = x @ centres.T
-                cell[at] = dots.argmax(axis=1)
-                far[at] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "d", "v", "rep", "copies")] + [pa.array(cell), pa.array(far)], names=["label", "d", "v", "rep", "copies", "cell", "far"])
-
-    placed = points.mapInArrow(cells, "label string, d int, v array<double>, rep long, copies long, cell long, far double")
-    cell_sizes = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = placed.join(cell_sizes, ["label", "d", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
-    placed = stage(spark, placed.withColumn("block", F.concat_ws("/", "cell", "part")), "blocks")
-    blocks = placed.groupBy("label", "d", "cell", "block").agg(F.max("far").alias("far"))
-
     reach = float(np.sqrt(2 - 2 * least))
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) if len(centres) else np.zeros((0, 0))
-
-    @F.pandas_udf("boolean")
-    def near(d1: pd.Series, c1: pd.Series, f1: pd.Series, c2: pd.Series, f2: pd.Series) -> pd.Series:
-        if not len(c1):
-            return pd.Series([], dtype=bool)
-        known = (c1.to_numpy() >= 0) & (c2.to_numpy() >= 0)
-        gap = np.where(known, apart[np.maximum(0, c1), np.maximum(0, c2)] if len(apart) else 0.0, 0.0)
-        return pd.Series(gap - f1.to_numpy() - f2.to_numpy() <= reach + EPS)
-
-    one = blocks.select("label", "d", F.col("block").alias("b1"), F.col("cell").alias("c1"), F.col("far").alias("f1"))
-    two = blocks.select("label", "d", F.col("block").alias("b2"), F.col("cell").alias("c2"), F.col("far").alias("f2"))
-    # a row for each block, not for each vector
-    pairs = one.join(two, ["label", "d"]).filter("b1 <= b2").filter(near("d", "c1", "f1", "c2", "f2"))
-    sides = pairs.select("label", "d", "b1", "b2", F.col("b1").alias("block")).unionByName(pairs.filter("b1 <> b2").select("label", "d", "b1", "b2", F.col("b2").alias("block")))
+    placed, nodes = split_cells(spark, points, block)
+    sizes = stage(spark, placed.groupBy(*_KEYS).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "leaves")
+    pairs = near_cells(spark, sizes.select(*_KEYS), nodes, reach)
+    # a leaf that levels could not make small enough is dealt into parts, which all meet
+    of = lambda x: sizes.select("label", "d", F.col("cell").alias(x), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{x}_part"))
+    units = pairs.join(of("a"), ["label", "d", "a"]).join(of("b"), ["label", "d", "b"]).filter("a <> b or a_part <= b_part")
+    units = stage(spark, units.select("label", "d", F.concat_ws("/", "a", "a_part").alias("b1"), F.concat_ws("/", "b", "b_part").alias("b2")), "block-pairs")
+    placed = placed.join(sizes, _KEYS).withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    sides = units.select("label", "d", "b1", "b2", F.col("b1").alias("block")).unionByName(units.filter("b1 <> b2").select("label", "d", "b1", "b2", F.col("b2").alias("block")))
     work = placed.select("label", "d", "block", "v", "rep", "copies").join(sides, ["label", "d", "block"])
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
