@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.functions.keyspace import HASH, KEY_TYPES
+from keyspan.operators.running import last_value
 from keyspan.plans.catalog import STATES
 
 #: What a plan consists of, one row for each shard.
@@ -31,12 +32,29 @@ class Catalog:
     backups: DataFrame
 
 
+#: Versions of one history that are sent along with targets; longer histories are merged with them by time.
+FEW = 1000
+
+
+def _merged(targets: DataFrame, versions: DataFrame, within: list[str], time: str, at: str, value: Column, name: str, rank: list[str]) -> DataFrame:
+    """targets with the last value at or before their time, among versions (*within, at, *rank): both in one order, in many tasks."""
+    none = F.lit(None)
+    mine = targets.withColumns({"__at": F.col(time), "__row": F.struct(*targets.columns), "__value": none.cast(versions.select(value).schema[0].dataType), "__late": F.lit(1), "__n": F.monotonically_increasing_id()})
+    theirs = versions.withColumns({"__at": F.col(at), "__row": none.cast(mine.schema["__row"].dataType), "__value": value, "__late": F.lit(0), "__n": F.lit(0).cast("long"), **{f"__r{i}": F.col(r) for i, r in enumerate(rank)}})
+    mine = mine.withColumns({f"__r{i}": none.cast(versions.schema[r].dataType) for i, r in enumerate(rank)})
+    order = ["__at", "__late", *[f"__r{i}" for i in range(len(rank))], "__n"]
+    both = mine.select(*within, *order, "__row", "__value").unionByName(theirs.select(*within, *order, "__row", "__value"))
+    return last_value(both, within, order, F.col("__value"), name).filter("__late = 1").select("__row.*", name)
+
+
 def topology_at(targets: DataFrame, topologies: DataFrame, time: str = "t") -> DataFrame:
     """targets with the generation in force at their time: the latest valid_from at or before it, then the higher generation.
 
-    topologies are few (one row per structural change) and are sent to all tasks as one sorted array; targets don't move.
-    A target before the first has a null generation.
+    A target before the first has a null generation. Up to FEW topologies are sent to all tasks as one sorted array, and
+    targets don't move.
     """
+    if topologies.limit(FEW + 1).count() > FEW:
+        return _merged(targets, topologies, [], time, "valid_from", F.col("generation"), "generation", ["generation"])
     steps = topologies.agg(F.sort_array(F.collect_list(F.struct("valid_from", "generation"))).alias("steps"))
     at = F.array_max(F.filter("steps", lambda x: x["valid_from"] <= F.col(time)))
     return targets.crossJoin(F.broadcast(steps)).withColumn("generation", at["generation"]).drop("steps")
@@ -49,9 +67,14 @@ def backup_shards(backups: DataFrame) -> DataFrame:
 def newest_backup_before(targets: DataFrame, backups: DataFrame, time: str = "t") -> DataFrame:
     """targets (stanza, time) with label and stop_time of the stanza's newest backup that stopped at or before the time.
 
-    backups: (stanza, label, stop_time), one row for each shard of a backup. Equal stop times: the smaller label.
-    A stanza's backups become one sorted array (they are a retention's worth), looked into by each target.
+    backups: (stanza, label, stop_time), one row for each shard of a backup. Equal stop times: the smaller label. Where no
+    stanza has more than FEW, its backups become one sorted array that each target looks into.
     """
+    if (backups.groupBy("stanza").count().agg(F.max("count")).first()[0] or 0) > FEW:
+        # of equal stop times the smaller label comes last
+        ranked = backups.groupBy("stanza", "stop_time").agg(F.min("label").alias("label"))
+        found = _merged(targets, ranked, ["stanza"], time, "stop_time", F.struct("label", "stop_time"), "__best", ["label"])
+        return found.withColumns({"label": F.col("__best.label"), "stop_time": F.col("__best.stop_time")}).drop("__best")
     history = backups.groupBy("stanza").agg(F.sort_array(F.collect_list(F.struct("stop_time", "label"))).alias("history"))
     fits = F.filter("history", lambda x: x["stop_time"] <= F.col(time))
     latest = F.array_max(F.transform(fits, lambda x: x["stop_time"]))

@@ -1,7 +1,7 @@
 """Decoding a database's logical replication frames (pgoutput, protocol versions 1 to 4).
 
-A frame is a tag byte and its fields in network order. Frames of a shard are decoded in order, for a stream bracket
-changes how the frames inside it are read.
+A frame is a tag byte and its fields in network order. Inside a stream bracket frames begin with a transaction id; whether
+a frame is in one is a running sum over tags, so frames are decoded wherever they are, in any number of tasks.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from keyspan.operators.running import running_sum
 
 
 class DecodeError(ValueError):
@@ -20,11 +24,10 @@ class DecodeError(ValueError):
 
 #: One row for each frame. Positions are unsigned 64-bit numbers in longs.
 SCHEMA = (
-    "shard string, seq long, op string, xid long, commit_lsn long, end_lsn long, ts long, rel_oid long, schema string, table string, replica_identity string, "
+    "shard string, seq long, txn long, op string, xid long, commit_lsn long, end_lsn long, ts long, rel_oid long, schema string, table string, replica_identity string, "
     "columns array<struct<flags:int,name:string,type_oid:long,typmod:int>>, before_kind string, before array<struct<kind:string,value:binary>>, after array<struct<kind:string,value:binary>>, "
     "prefix string, content binary, transactional boolean, relations array<long>, options int, subxid long, gid string"
 )
-FIELDS = [x.split()[0] for x in SCHEMA.replace("array<struct<flags:int,name:string,type_oid:long,typmod:int>>", "x").replace("array<struct<kind:string,value:binary>>", "x").replace("array<long>", "x").split(", ")]
 _KINDS = {b"n": "null", b"u": "unchanged", b"t": "text", b"b": "binary"}
 
 
@@ -198,23 +201,30 @@ _READERS = {
 
 
 def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
-    """Decoded rows of frames (shard, seq, frame), each shard's in the order of seq. A bad frame is an error.
+    """Decoded rows of frames (shard, seq, frame); seq is their order within a shard. A bad frame is an error.
 
-    Shards are the units of order, so each is one sorted run of a partition that is streamed through, not gathered.
+    The tag bytes alone are put in order, to tell the transaction of each frame (`txn`, the number of begins so far) and
+    whether it is in a stream bracket; the frames themselves are decoded in Arrow batches.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, decoder = None, Decoder(parallel)
+    tag = F.substring("frame", 1, 1)
+    is_tag = lambda t: tag == F.lit(t.encode())
+    marks = F.when(is_tag("B"), F.lit(1 << 32)).when(is_tag("S"), 1).when(is_tag("E"), -1).otherwise(0)
+    # a stream's end is still in it, but carries no transaction id
+    marked = running_sum(frames.select("shard", "seq", "frame"), ["shard"], ["seq"], marks.cast("long"), "marks")
+    rows = marked.select("shard", "seq", "frame", F.shiftright("marks", 32).alias("txn"), (F.col("marks").bitwiseAND(F.lit((1 << 32) - 1)) > 0).alias("in_stream"))
+    schema = _parse_datatype_string(SCHEMA)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(parallel)
         for batch in batches:
-            rows = []
-            for s, seq, frame in zip(batch["shard"], batch["seq"], batch["frame"], strict=True):
-                if s != shard:
-                    shard, decoder = s, Decoder(parallel)
-                rows.append({"shard": s, "seq": seq} | decoder.decode(bytes(frame)))
-            out = pd.DataFrame(rows, columns=FIELDS).astype(object)
-            yield out.where(out.notna(), None)
-
-    return frames.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, SCHEMA)
+            out = []
+            for shard, seq, frame, txn, in_stream in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                decoder.in_stream = in_stream
+                out.append({"shard": shard, "seq": seq, "txn": txn} | decoder.decode(frame))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in arrow], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def commit_time(ts: str = "ts"):

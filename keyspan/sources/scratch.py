@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one (spark.checkpoint.dir; a local one only where that is unset), gone when the driver ends."""
+    """A fresh folder in the shared one (spark.checkpoint.dir), gone when the driver ends. A local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="keyspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/keyspan/{name}-{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ from keyspan.operators.placement import keep_range as keep_rows
 from keyspan.plans.catalog import ShardCatalog
 from keyspan.sources.copytext import typed
 from keyspan.sources.pgoutput import decode_frames
+from keyspan.sources.scratch import kept
 from keyspan.sources.store import GLOBAL_SHARD, Conflict, Store
 from keyspan.streaming.changes import keep_range, late, net_changes, row_changes, steps, transactions
 
@@ -41,6 +42,8 @@ class Applier:
 
         r and shard_keys (table -> (column, type)): only rows whose shard key is in the range.
         """
+        # read many times below: what is decoded is decoded once, and all of it is of one reading of the source
+        changes = kept(changes, "changes")
         base = self.store.manifest()
         done = base["checkpoints"].get(self.consumer, {"lsn": -1, "end_lsn": -1})
         top = changes.agg(F.max("commit_lsn").alias("lsn"), F.max("end_lsn").alias("end_lsn")).first()

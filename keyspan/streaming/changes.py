@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyspan.functions.keyspace import KeyRange, in_range, text_id_column
+from keyspan.operators.running import last_value, running_sum
 
 ROW_OPS = ("insert", "update", "delete")
 #: Frames that can't be applied without guessing.
@@ -26,12 +27,13 @@ def fail(message: str | Column) -> Column:
 def transactions(frames: DataFrame) -> DataFrame:
     """Frames of committed transactions, each with its transaction's commit_lsn and end_lsn; what can't be applied is an error.
 
-    Frames of one shard are in order; a transaction's changes stand between its begin and its commit. A last transaction
-    without a commit is left out. Windows run within a shard, the unit of order.
+    Frames of one shard are in order of seq; a transaction's changes stand between its begin and its commit, and share the
+    number of begins before them (`txn`, worked out here where frames don't have it). A last transaction without a commit
+    is left out.
     """
-    by = W.partitionBy("shard").orderBy("seq")
-    nth = F.sum((F.col("op") == "begin").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = frames.withColumn("op", F.when(F.col("op").isin(*REFUSED), fail(F.concat(F.lit("can't apply "), F.col("op")))).otherwise(F.col("op"))).withColumn("txn", nth)
+    if "txn" not in frames.columns:
+        frames = running_sum(frames, ["shard"], ["seq"], (F.col("op") == "begin").cast("long"), "txn")
+    rows = frames.withColumn("op", F.when(F.col("op").isin(*REFUSED), fail(F.concat(F.lit("can't apply "), F.col("op")))).otherwise(F.col("op")))
     ends = rows.filter("op = 'commit'").select("shard", "txn", F.col("commit_lsn").alias("txn_lsn"), F.col("end_lsn").alias("txn_end"))
     # relations may be described between transactions
     rows = rows.drop("commit_lsn", "end_lsn").join(ends, ["shard", "txn"], "left").filter("txn_lsn is not null or op = 'relation'")
@@ -54,9 +56,8 @@ def row_changes(committed: DataFrame) -> DataFrame:
 
     Updates and deletes need a key identity (default or index); full and nothing are errors, for they may match several rows.
     """
-    latest = F.last(F.when(F.col("op") == "relation", F.struct("schema", "table", "replica_identity", "columns")), ignorenulls=True)
-    known = latest.over(W.partitionBy("shard", "rel_oid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    rows = committed.withColumn("relation", known).filter(F.col("op").isin(*ROW_OPS))
+    described = F.when(F.col("op") == "relation", F.struct("schema", "table", "replica_identity", "columns"))
+    rows = last_value(committed.filter(F.col("op").isin("relation", *ROW_OPS)), ["shard", "rel_oid"], ["seq"], described, "relation").filter(F.col("op").isin(*ROW_OPS))
     rows = rows.withColumn("relation", F.when(F.col("relation").isNotNull() | ~F.col("op").isin(*ROW_OPS), F.col("relation")).otherwise(fail("a change of a relation that was not described")))
     rows = rows.withColumn("columns", F.col("relation.columns"))
     after, before = _named("after", "columns"), _named("before", "columns")
