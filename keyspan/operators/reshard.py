@@ -57,6 +57,21 @@ class Reshard:
         self.phase = "CatchingUp" if left else "ReadyToCutover"
         return len(left)
 
+    @property
+    def claim(self) -> str:
+        """What the source is fenced under: this reshard alone, told by its targets."""
+        return f"reshard of {self.source} to {', '.join(n for n, _ in self.targets)}"
+
+    def freeze(self) -> None:
+        """Makes the source read-only, so that what is left to seed comes to an end. Another reshard's claim is a Conflict."""
+        self.store.fence(self.source, self.claim)
+        self.phase = "CuttingOver"
+
+    def rollback(self) -> bool:
+        """Lets writes go on as before; files that were seeded stay usable. False if the fence isn't ours."""
+        self.phase = "CatchingUp"
+        return self.store.unfence(self.source, self.claim)
+
     def switch(self) -> dict:
         """The targets take the source's place, for all tables at once. Conflict if the source has changed: seed again."""
         self.attempts += 1
@@ -74,20 +89,24 @@ class Reshard:
                         shards.setdefault(s, []).append(new)
             m["state"]["catalog"] = [[n, str(r)] for n, r in self.after.shards]
             m["state"]["generation"] = m["state"].get("generation", 1) + 1
+            if m["state"].get("fences", {}).get(self.source) == self.claim:
+                del m["state"]["fences"][self.source]
 
         out = self.store.commit(base, change)
         self.phase = "SwitchedForward"
         return out
 
     def run(self, tries: int = 5) -> dict:
-        """Seeds until the source stands still, then switches."""
+        """Seeds while writes go on, then freezes the source, seeds the rest and switches; rolls back if that fails."""
         for _ in range(tries):
             while self.seed():
                 pass
             try:
+                self.freeze()
+                self.seed()
                 return self.switch()
             except Conflict:
-                continue
+                self.rollback()
         raise Conflict(f"{self.source} changes faster than it is seeded")
 
     def counts(self) -> dict[str, int]:

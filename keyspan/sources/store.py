@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,18 @@ class Conflict(StoreError):
     """Another writer was first."""
 
 
+class Fenced(StoreError):
+    """A write to a shard that is read-only for now."""
+
+    code = "25006"
+
+
+class Unreachable(StoreError):
+    """A shard whose files can't be read."""
+
+    code = "08006"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -64,7 +77,11 @@ class Store:
             stream.close()
 
     def commit(self, base: dict, change: Callable[[dict], None]) -> dict:
-        """Writes base, changed, as the manifest after it; Conflict if that number is taken."""
+        """Writes base, changed, as the manifest after it; Conflict if that number is taken.
+
+        Of two writers one wins where the file system's rename is atomic and doesn't replace (HDFS, local disks). Object
+        stores don't promise that: there a store needs one writer at a time.
+        """
         new = json.loads(json.dumps(base))
         change(new)
         new["version"] = base["version"] + 1
@@ -108,7 +125,10 @@ class Store:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumn("shard", F.lit(None).cast("string")) if with_shard else empty
         full = T.StructType([*schema.fields, T.StructField("v", T.StringType()), T.StructField("shard", T.StringType())])
-        df = self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/v={v}/shard={s}" for v, s in wanted])
+        try:
+            df = self.spark.read.schema(full).option("basePath", base).parquet(*[f"{base}/v={v}/shard={s}" for v, s in wanted])
+        except AnalysisException as error:
+            raise Unreachable(f"files of {table} are not there: {error}") from error
         if shards is not None:
             df = df.filter(F.col("shard").isin(list(shards)))
         return df.select(*schema.names, *(["shard"] if with_shard else []))
@@ -134,9 +154,38 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
         return version, sorted(self.spark._jvm.java.net.URLDecoder.decode(n.removeprefix("shard="), "UTF-8") for n in names if n.startswith("shard="))
 
+    # --- fences ---------------------------------------------------------------------------------------------------
+
+    def fence(self, shard: str, claim: str) -> dict:
+        """Makes a shard read-only for everyone, until the same claim is given up; a shard has one claim at a time.
+
+        Writers that began before find the manifest changed, and the shard fenced when they try again.
+        """
+
+        def change(m: dict) -> None:
+            held = m["state"].setdefault("fences", {}).setdefault(shard, claim)
+            if held != claim:
+                raise Conflict(f"{shard} is claimed by {held}")
+
+        return self.commit(self.manifest(), change)
+
+    def unfence(self, shard: str, claim: str) -> bool:
+        """Gives a claim up; False if the shard isn't fenced by it, which leaves it as it is."""
+        base = self.manifest()
+        if base["state"].get("fences", {}).get(shard) != claim:
+            return False
+        self.commit(base, lambda m: m["state"]["fences"].pop(shard))
+        return True
+
+    @staticmethod
+    def _open(manifest: dict, shards: Sequence[str]) -> None:
+        if shut := sorted(set(shards) & set(manifest["state"].get("fences", {}))):
+            raise Fenced(f"{shut[0]} is read-only")
+
     def append(self, table: str, df: DataFrame, shards: ShardCatalog | None = None) -> dict:
         base = self.manifest()
         version, hit = self.write_files(table, df, shards, base)
+        self._open(base, hit)
 
         def change(m: dict) -> None:
             for s in hit:
@@ -147,6 +196,7 @@ class Store:
     def replace(self, table: str, of_shards: Sequence[str], df: DataFrame, shards: ShardCatalog | None = None, base: dict | None = None, also: Callable[[dict], None] | None = None) -> dict:
         """df becomes all rows of those shards; also: further changes of the same manifest."""
         base = base or self.manifest()
+        self._open(base, of_shards)
         version, hit = self.write_files(table, df, shards, base)
         if set(hit) - set(of_shards):
             raise StoreError(f"rows of {sorted(set(hit) - set(of_shards))} among those of {sorted(of_shards)}")

@@ -89,6 +89,27 @@ def events(changes: DataFrame) -> DataFrame:
     return bracket("first", "begin").unionByName(row).unionByName(bracket("last", "commit"))
 
 
+def ddl_events(frames: DataFrame, prefix: str = "keyspan.ddl") -> DataFrame:
+    """(shard, commit_lsn, kind, migration_id, sql): schema statements that travel as logical messages of a prefix.
+
+    frames are decoded and committed ones; a message's content is the statement's id, a line feed, and its text.
+    """
+    text = F.decode("content", "UTF-8")
+    rows = frames.filter((F.col("op") == "message") & (F.col("prefix") == prefix))
+    return rows.select("shard", "commit_lsn", F.lit("ddl").alias("kind"), F.substring_index(text, "\n", 1).alias("migration_id"), F.expr("substring(decode(content, 'UTF-8'), instr(decode(content, 'UTF-8'), '\n') + 1)").alias("sql"))
+
+
+def heartbeats(shards: DataFrame, changes: DataFrame) -> DataFrame:
+    """(shard, kind): a heartbeat of each shard (shard) that has no change among these, so that silence isn't taken for loss."""
+    return shards.select("shard").distinct().join(changes.select("shard").distinct(), "shard", "left_anti").withColumn("kind", F.lit("heartbeat"))
+
+
+def copy_completed(position: Position, copied: Sequence[str]) -> tuple[Position, list[tuple[str, str]]]:
+    """(position that knows of the copies, [(kind, table)] of those that are new): a table's copy is told once."""
+    new = [t for t in dict.fromkeys(copied) if t not in position.copied]
+    return Position(position.shards, position.copied | set(new)), [("copy_completed", t) for t in new]
+
+
 def field_events(changes: DataFrame) -> DataFrame:
     """(schema, table, columns): the columns of each table as changes show them."""
     names = changes.filter("cells is not null").select("schema", "table", F.transform("cells", lambda c: c["name"]).alias("columns"))

@@ -8,7 +8,7 @@ from keyspan.functions.keyspace import KeyRange, keyspace_id
 from keyspan.operators.reshard import Reshard, check_workflow
 from keyspan.plans.catalog import GLOBAL, ShardCatalog, TableDef, TopologyError
 from keyspan.registry import change_log
-from keyspan.sources.store import Conflict, Store, StoreError
+from keyspan.sources.store import Conflict, Fenced, Store, StoreError
 from keyspan.sources.topology_file import Watcher, load
 from keyspan.streaming import vstream as V
 
@@ -111,3 +111,28 @@ def test_reshards_that_are_refused(spark, tmp_path):
     for bad in ({}, {"id": "w"}, {"id": "w", "range": "80-"}, *[{"id": "w", "range": "80-", "tables": t} for t in ([{"name": "g"}], [{"name": "t"}, {"name": "t"}], [{"name": "t", "key": "x"}], [{"name": "t", "target": "u"}])]):
         with pytest.raises((ValueError, StoreError)):
             check_workflow(bad, schema)
+
+
+def test_fences(spark, tmp_path):
+    """A fenced shard takes no writes, one claim at a time, and only its claim lets it go."""
+    store, shards = Store(spark, str(tmp_path / "f")), ShardCatalog.even(4)
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    store.create("public.t", rows.schema, TableDef("k", "int"))
+    store.append("public.t", rows, shards)
+    held = shards.all()[0]
+    store.fence(held, "one")
+    store.fence(held, "one")
+    with pytest.raises(Conflict):
+        store.fence(held, "two")
+    with pytest.raises(Fenced) as error:
+        store.append("public.t", rows, shards)
+    assert error.value.code == "25006" and store.read("public.t").count() == 100
+    others = store.read("public.t", shards.all()[1:])
+    store.append("public.t", others, shards)
+    assert not store.unfence(held, "two") and store.unfence(held, "one") and not store.unfence(held, "one")
+    store.append("public.t", rows, shards)
+    split = Reshard(store, held, [("a", KeyRange(0, 1 << 61)), ("b", KeyRange(1 << 61, 1 << 62))], shards)
+    store.fence(held, "someone else")
+    with pytest.raises(Conflict):
+        split.freeze()
+    assert not split.rollback() and split.phase == "CatchingUp"
