@@ -9,7 +9,7 @@ from keyspan.functions.keyspace import KeyRange
 from keyspan.operators.sequences import Allocator, number_rows
 from keyspan.plans.catalog import GLOBAL, ShardCatalog, TableDef, TableName
 from keyspan.plans.sql import SqlError
-from keyspan.sources import copytext, pgoutput
+from keyspan.sources import copytext, framelog, pgoutput
 from keyspan.sources.store import Conflict, Store, StoreError
 from keyspan.streaming.apply import Applier, copy_range
 
@@ -189,3 +189,33 @@ def test_reshard_copy_is_a_partition_of_the_source(spark, engine, tmp_path):
         copy_range(engine.store, target, "public.orders", r, "customer_id", "int", SHARDS)
         got += rows(target.read("public.orders"))
     assert sorted(got) == rows(engine.table("orders"))
+
+
+def test_frames_as_a_stream_with_offsets(spark, engine, tmp_path):
+    """Segments are read once each, a stream that is started again goes on after the last, and what is done is acknowledged."""
+    spark.dataSource.register(framelog.FrameSource)
+    folder, apply = str(tmp_path / "log"), Applier(engine.store, "segments", KEYS, SHARDS)
+
+    def segment(first, *transactions, start):
+        rows = [f for _, _, f in log(*transactions, start=start)]
+        return framelog.write_segment(folder, "s0", first, map(bytes, rows))
+
+    def run():
+        stream = spark.readStream.format(framelog.FORMAT).option("path", folder).load()
+        apply.follow(stream, str(tmp_path / "cp")).awaitTermination()
+
+    base = engine.store.read("public.orders").count()
+    one = segment(0, [pgoutput.insert(1, cells(900, 5, "a"))], [pgoutput.insert(1, cells(901, 6, "b"))], start=100)
+    run()
+    assert engine.store.read("public.orders").count() == base + 2
+    two = segment(50, [pgoutput.delete(1, [b"900", b"5", None])], start=300)
+    (tmp_path / "log/s0/.unfinished").write_bytes(b"x")
+    run()
+    run()
+    left = {r["id"] for r in engine.store.read("public.orders").collect()}
+    assert 901 in left and 900 not in left and one < two
+    assert framelog.acknowledged(folder).get("s0", one) in (one, two)
+    reader = framelog.FrameReader(folder)
+    reader.commit({"s0": two})
+    reader.commit({"s0": one})  # never back
+    assert framelog.acknowledged(folder) == {"s0": two} and [x.name for x in reader.partitions({"s0": one}, reader.latestOffset())] == [two]
