@@ -104,7 +104,7 @@ class Engine:
         return self.vschema[TableName.of(name)]
 
     def table(self, name: str | TableName, shards: Sequence[str] | None = None) -> DataFrame:
-        """Rows of a table, of some shards if given."""
+        """Rows of a table, of some shards if given: of a stored table their folders, of an attached frame those that hash there."""
         name = name if isinstance(name, TableName) else TableName.of(name)
         found = self.vschema[name]
         if name in self._frames:

@@ -8,8 +8,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from keyspan.functions.keyspace import KeyRange
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from keyspan.functions.keyspace import KeyRange, in_range
 
 REPLAN, EXPIRED, REJECTED = "replan", "expired", "rejected"
 GATE_FULL = "40001"
@@ -84,7 +89,8 @@ class GateEngine:
                 self._settle(held, now)
 
     def _settle(self, held: _Held, now: float) -> None:
-        if held.gate.min_generation > self.generation and held.gate.deadline > now:
+        """An armed gate lets go once its generation is there; until then it is left to its deadline."""
+        if held.gate.min_generation > self.generation:
             return
         self._release(held, EXPIRED if held.gate.deadline <= now else REPLAN)
 
@@ -225,3 +231,80 @@ class Workflows:
 def xid_horizon(base: int, versions: Sequence[int]) -> int | None:
     """The first of the 32-bit transaction ids to come round after base."""
     return min(versions, key=lambda v: (v - base) % (1 << 32), default=None)
+
+
+# --- the same decisions for many at once ----------------------------------------------------------------------------
+
+
+def held_by(statements: DataFrame, gates: Sequence[Gate]) -> DataFrame:
+    """statements (tables array<string>, positions array<long>, is_write) with `gate`, the id of the first gate that holds them."""
+    out = F.lit(None).cast("string")
+    for g in reversed(gates):
+        hit = F.lit(g.everything) | F.arrays_overlap("tables", F.array(*[F.lit(t) for t in g.tables]).cast("array<string>"))
+        inside = lambda p, ranges=g.ranges: reduce(Column.__or__, [in_range(p, r) for r in ranges])
+        if g.ranges:
+            hit |= F.exists("positions", lambda p: inside(p))  # noqa: B023
+        out = F.when(hit & (F.col("is_write") if g.writes_only else F.lit(True)), g.id).otherwise(out)
+    return statements.withColumn("gate", out)
+
+
+def gate_outcomes(sessions: DataFrame, gates: DataFrame, generations: DataFrame, max_wait: float) -> DataFrame:
+    """sessions (gate, session, since double) with `outcome`, for gates (gate, opened, deadline, min_generation) that were closed before them.
+
+    opened null: never. generations (generation, at double): when topologies were applied. A gate that was opened lets go
+    once its generation is there, one that was not by its deadline expires. A session that waits longer than max_wait is
+    rejected, and one that comes after its gate has let go isn't held: its outcome is null.
+    """
+    # a row for each gate that waits for a topology and each topology that does for it
+    ready = gates.join(generations, generations["generation"] >= gates["min_generation"]).groupBy("gate").agg(F.min("at").alias("ready"))
+    g = gates.join(ready, "gate", "left")
+    settled = F.when(F.col("min_generation") <= 0, F.col("opened")).otherwise(F.greatest("opened", F.when(F.col("ready").isNotNull() & F.col("opened").isNotNull(), F.col("ready"))))
+    ready_in_time = F.when(F.col("opened").isNotNull() & ((F.col("min_generation") <= 0) | F.col("ready").isNotNull()), settled)
+    g = g.withColumn("released", F.when(ready_in_time < F.col("deadline"), ready_in_time)).select("gate", "released", "deadline")
+    ends = F.coalesce("released", "deadline")
+    outcome = F.when(F.col("since") >= ends, None).when(ends - F.col("since") > max_wait, REJECTED).when(F.col("released").isNotNull(), REPLAN).otherwise(EXPIRED)
+    return sessions.join(g, "gate").withColumn("outcome", outcome).drop("released", "deadline")
+
+
+def judge_decisions(decisions: DataFrame, within: str, order: str) -> DataFrame:
+    """decisions (epoch, key) with `verdict`, as an EpochGuard that commits what it lets through says of each, by agent.
+
+    `apply`, `replay` of the one applied last, or a refusal: `invalid`, `stale` or `conflict`. Windows run within an agent.
+    """
+    before = W.partitionBy(within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    # of the highest epoch so far, the decision that came first
+    top = F.max(F.when(F.col("epoch") >= 1, F.struct("epoch", (-F.col(order)).alias("nth"), "key"))).over(before)
+    last, last_key = F.coalesce(F.col("__top.epoch"), F.lit(0)), F.col("__top.key")
+    verdict = F.when(F.col("epoch") < 1, "invalid").when(F.col("epoch") < last, "stale").when(F.col("epoch") > last, "apply").when(F.col("key") == last_key, "replay").otherwise("conflict")
+    return decisions.withColumn("__top", top).withColumn("verdict", verdict).drop("__top")
+
+
+def judge_statements(claims: DataFrame, order: str) -> DataFrame:
+    """claims (id, sql, ok) with `verdict`, as a StatementLog says of each when every run ends before the next claim.
+
+    An id is bound to its first text. It is executed until a run succeeds, then replayed; another text is a `conflict`, no
+    id at all is `invalid`. Windows run within an id.
+    """
+    by = W.partitionBy("id").orderBy(order)
+    first = F.first("sql").over(by.rowsBetween(W.unboundedPreceding, 0))
+    done = F.coalesce(F.max(F.when(F.col("sql") == F.col("__first"), F.col("ok"))).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    rows = claims.withColumn("__first", first).withColumn("__done", done)
+    verdict = F.when(F.coalesce("id", F.lit("")) == "", "invalid").when(F.col("sql") != F.col("__first"), "conflict").when(F.col("__done"), "replay").otherwise("execute")
+    return rows.withColumn("verdict", verdict).drop("__first", "__done")
+
+
+def freshness(polls: DataFrame, within: str, order: str, lease: float) -> DataFrame:
+    """polls (boot, wall, confirmed) with `age` of the last confirmation before each, and `may_write`.
+
+    The larger of what two clocks say; null, and no writes, without a confirmation or where the boot clock went back.
+    """
+    before = W.partitionBy(within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("confirmed"), F.struct("boot", "wall")), ignorenulls=True).over(before)
+    rows = polls.withColumn("__at", last)
+    age = F.when(F.col("boot") >= F.col("__at.boot"), F.greatest(F.col("boot") - F.col("__at.boot"), F.col("wall") - F.col("__at.wall")))
+    return rows.withColumn("age", age).withColumn("may_write", F.coalesce(F.col("age") < lease, F.lit(False))).drop("__at")
+
+
+def xid_horizons(versions: DataFrame) -> DataFrame:
+    """(base, horizon) of versions (base, version): the first of a base's 32-bit transaction ids to come round after it."""
+    return versions.groupBy("base").agg(F.min_by("version", F.pmod(F.col("version") - F.col("base"), F.lit(1 << 32))).alias("horizon"))

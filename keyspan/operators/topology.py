@@ -65,7 +65,7 @@ def compile_view(cluster: str, lease: int | None, hash_function: str, shards: Da
     known = tables.agg(F.array_sort(F.collect_list(F.struct(schema.alias("schema"), "name", "type", "key", "key_type"))).alias("tables"))
     system = primary_endpoints(shards.filter(F.col("role") == "system"), instances, endpoints).agg(F.first(F.struct("host", "port")).alias("sequence_endpoint"))
     head = F.lit(cluster).alias("cluster"), F.lit(lease or 10).alias("write_lease_seconds"), F.lit(hash_function).alias("hash_function"), F.lit(sorted(gates)).cast("array<string>").alias("gates")
-    # three tables of one row each
+    # three aggregates, each of one row
     return listed.crossJoin(known).crossJoin(system).select(*head, "*")
 
 

@@ -1,7 +1,4 @@
-"""Registered queries of the engine's own operators, and the DuckDB SQL they are held against.
-
-Sharded tables: orders by o_custkey, customer by c_custkey, lineitem by l_orderkey, events by user_id; the others are global.
-"""
+"""Registered queries of the engine's own operators, and the DuckDB SQL they are held against."""
 
 from __future__ import annotations
 
@@ -10,51 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyspan import oracle
-from keyspan.engine import NATIVE, STRICT, Engine
+from keyspan.engine import NATIVE, STRICT
 from keyspan.functions import keyspace as K
 from keyspan.functions.keyspace import KeyRange
 from keyspan.operators import election, placement, temporal, topology
 from keyspan.operators.merge import merge, order
 from keyspan.operators.sequences import number_rows
-from keyspan.plans.catalog import GLOBAL, ShardCatalog, TableDef, TableName
+from keyspan.plans.catalog import ShardCatalog, TableDef, TableName
 from keyspan.plans.scatter import SortKey
+from keyspan.registering import ORACLES, QUERIES, SCHEMA, SHARDS, engine, registered, table
 from keyspan.sources import copytext
 from keyspan.sources.scratch import scratch
 from keyspan.sources.store import Store
 from keyspan.streaming.apply import Applier
 from keyspan.streaming.changes import keep_range, net_changes, steps
 
-SHARDS = ShardCatalog.even(4)
-KEYS = {"orders": "o_custkey", "customer": "c_custkey", "lineitem": "l_orderkey", "events": "user_id"}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SCHEMA = {TableName("public", t): TableDef(KEYS[t], "int") if t in KEYS else GLOBAL for t in TABLES}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    out = Engine(spark, SCHEMA, SHARDS)
-    for t in TABLES:
-        out.attach(t, table(spark, sf_dir, t))
-    return out
-
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def registered(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- placement ------------------------------------------------------------------------------------------------------
 
 
@@ -219,11 +186,16 @@ NATIVE_SQL = {
     "native_union": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0",
     "native_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "native_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'",
-    "native_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "native_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000",
+    "native_intersect_all": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT ALL SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'",
+    "native_except_all": "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey AS k FROM customer",
+    "native_natural_join": "SELECT k, v, w FROM (SELECT n_regionkey AS k, n_name AS v FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name AS w FROM region) b",
+    "native_cross_join": "SELECT n_name, r_name FROM nation CROSS JOIN region",
+    "native_range_join": "SELECT e.event_id, count(*) AS n FROM events e JOIN events f ON e.user_id = f.user_id AND f.ts BETWEEN e.ts - INTERVAL '1' HOUR AND e.ts GROUP BY e.event_id",
     "native_window_rank": "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders",
     "native_window_running": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
     "native_semi": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 480000)",
-    "native_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "native_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_totalprice > 200000)",
     "native_in_subquery": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')",
     "native_scalar_subquery": "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c",
     "native_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), most AS (SELECT max(n) AS m FROM big) SELECT o_custkey, n FROM big, most WHERE n = m",
@@ -244,6 +216,19 @@ for _name, _text in NATIVE_SQL.items():
     _native(_name, _text)
 
 
+@registered(
+    "WITH e AS (SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k, [CAST(event_id % 7 AS INTEGER), CAST(user_id % 5 AS INTEGER), 3] AS a, event_type FROM events) "
+    "SELECT event_id, k, list_sum(a) AS total, list_max(a) AS most, list_contains(a, 4) AS four, len(list_distinct(a)) AS different, array_to_string(list_sort(list_transform(a, lambda x: x * 2)), ',') AS doubled, k + a[1] AS mapped FROM e"
+)
+def native_nested_functions(spark, sf_dir):
+    """JSON, arrays and maps, through the engine's native mode."""
+    return engine(spark, sf_dir).sql(
+        "SELECT event_id, k, CAST(aggregate(a, 0, (x, y) -> x + y) AS DECIMAL(38,0)) AS total, array_max(a) AS most, array_contains(a, 4) AS four, CAST(size(array_distinct(a)) AS BIGINT) AS different, array_join(sort_array(transform(a, x -> x * 2)), ',') AS doubled, element_at(map('k', k, 'other', 0), 'k') + a[0] AS mapped "
+        "FROM (SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, array(CAST(event_id % 7 AS INT), CAST(user_id % 5 AS INT), 3) AS a FROM events) e",
+        NATIVE,
+    )
+
+
 # --- sequences ------------------------------------------------------------------------------------------------------
 
 
@@ -316,8 +301,8 @@ def cdc_replay_idempotent(spark, sf_dir):
 
 
 @registered(oracle.positions("SELECT c_custkey AS k FROM customer") + f"\nSELECT c_custkey, c_name, {oracle.shard_case(ShardCatalog.even(3))} AS target FROM customer JOIN placed ON c_custkey = k")
-def reshard_union_equals_source(spark, sf_dir):
-    """Each target of a split takes the rows of its range; together they are the source."""
+def range_copies(spark, sf_dir):
+    """The rows that a copy to each of three ranges takes; together they are the source."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     parts = [placement.keep_range(rows, "c_custkey", "int", r).withColumn("target", F.lit(n)) for n, r in ShardCatalog.even(3).shards]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -349,6 +334,33 @@ def stream_hourly_counts(spark, sf_dir):
     return spark.read.parquet(f"{path}/{query.lastProgress['batchId']}")
 
 
+def _streamed(spark, sf_dir, window, by: str) -> DataFrame:
+    """Counts of events by windows, as a stream; each window once, when the watermark has passed its end."""
+    path, cp = scratch(spark, "windows"), scratch(spark, "windows-checkpoint")
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.withWatermark("ts", "1 hour").groupBy(window.alias("window"), by).count()
+    out = counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("end"), by, F.col("count").alias("n"))
+    out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@registered(f"SELECT s AS start, s + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS s FROM events) WHERE s + INTERVAL 6 HOUR <= {_CLOSED} GROUP BY 1, 2, 3")
+def stream_sliding_counts(spark, sf_dir):
+    return _streamed(spark, sf_dir, F.window("ts", "6 hours", "3 hours"), "event_type")
+
+
+@registered(
+    "WITH w AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM w) "
+    f"SELECT min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", user_id, count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= {_CLOSED}"
+)
+def stream_session_counts(spark, sf_dir):
+    return _streamed(spark, sf_dir, F.session_window("ts", "2 hours"), "user_id")
+
+
 # --- topology and time ----------------------------------------------------------------------------------------------
 
 
@@ -369,37 +381,55 @@ def backup_asof(spark, sf_dir):
     return temporal.newest_backup_before(targets, backups).select("o_orderkey", "label")
 
 
-def restore_catalog(spark: SparkSession) -> temporal.Catalog:
-    """A cluster of two shards that is split into four, with backups and barriers before and after."""
-    from datetime import datetime, timedelta
-
-    t = [datetime(2026, 7, 16, 10) + timedelta(minutes=30 * i) for i in range(6)]
-    one, two = ["a", "b", "sys"], ["c", "d", "e", "f", "sys"]
-    shard = lambda n: (n, f"st-{n}", "system" if n == "sys" else "data", "Serving")
-    tables = [("public", "orders", "sharded", "customer_id", "int"), ("public", "currencies", "global", None, None)]
-    topologies = spark.createDataFrame([(1, t[0], 1, K.HASH, [shard(n) for n in one], tables), (2, t[3], 7, K.HASH, [shard(n) for n in two], tables)], "generation int, valid_from timestamp, epoch int, hash_function string, shards array<struct<name:string,stanza:string,role:string,state:string>>, tables array<struct<schema:string,name:string,type:string,shard_key_column:string,shard_key_type:string>>")
-    backup = lambda i, gen, at, names: (f"bk{i}", at, gen, [(n, f"st-{n}", f"{i}F-{n}", f"0/{i}000", 1, at - timedelta(minutes=1)) for n in names])
-    backups = spark.createDataFrame([backup(1, 1, t[1], one), backup(2, 2, t[4], two)], "id string, completed_at timestamp, topology_generation int, shards array<struct<name:string,stanza:string,label:string,stop_lsn:string,timeline:int,stop_time:timestamp>>")
-    barrier = lambda i, gen, at, names: (f"b{i}", at, gen, [(n, f"st-{n}", f"0/{i}500", 1, f"rp{i}") for n in names])
-    barriers = spark.createDataFrame([barrier(1, 1, t[2], one), barrier(2, 2, t[5], two)], "id string, time timestamp, topology_generation int, shards array<struct<name:string,stanza:string,lsn:string,timeline:int,restore_point:string>>")
+def restore_catalog(spark, sf_dir) -> temporal.Catalog:
+    """A cluster whose shards grow with each generation (a region): backups and barriers of each, with a shard a nation."""
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    g, k = F.col("r_regionkey") + 1, F.col("n_nationkey")
+    since = F.expr("timestamp '2025-03-01' + make_dt_interval(r_regionkey * 10)")
+    own = regions.join(nations, F.col("n_regionkey") <= F.col("r_regionkey"))
+    name, stanza = F.concat(F.lit("n"), k), F.concat(F.lit("stanza-"), k)
+    hashed = F.lit(K.HASH).alias("hash_function")
+    data = F.collect_list(F.struct(name.alias("name"), stanza.alias("stanza"), F.lit("data").alias("role"), F.lit("Serving").alias("state")))
+    system = F.array(F.struct(F.lit("sys").alias("name"), F.lit("stanza-sys").alias("stanza"), F.lit("system").alias("role"), F.lit("Serving").alias("state")))
+    tables = F.array(F.struct(F.lit("public").alias("schema"), F.lit("t").alias("name"), F.lit("sharded").alias("type"), F.lit("k").alias("shard_key_column"), F.lit("int").alias("shard_key_type")))
+    topologies = own.groupBy("r_regionkey").agg(F.concat(data, system).alias("shards")).select(g.alias("generation"), since.alias("valid_from"), F.lit(1).alias("epoch"), hashed, "shards", tables.alias("tables"))
+    every = own.select("r_regionkey", k.cast("long").alias("i"), name.alias("name"), stanza.alias("stanza")).unionByName(regions.select("r_regionkey", F.lit(60).cast("long").alias("i"), F.lit("sys").alias("name"), F.lit("stanza-sys").alias("stanza")))
+    done = F.expr("timestamp '2025-03-01' + make_dt_interval(r_regionkey * 10 + 4)")
+    lsn = lambda base: F.concat(F.lit("0/"), F.hex(g * 4096 + base))
+    backed = F.struct("name", "stanza", F.concat(F.lit("set-"), g, F.lit("-"), F.col("name")).alias("label"), lsn(F.col("i")).alias("stop_lsn"), F.lit(1).alias("timeline"), F.expr("timestamp '2025-03-01' + make_dt_interval(r_regionkey * 10 + 4, 0, -i)").alias("stop_time"))
+    backups = every.groupBy("r_regionkey").agg(F.collect_list(backed).alias("shards")).select(F.concat(F.lit("bk"), g).alias("id"), done.alias("completed_at"), g.alias("topology_generation"), "shards")
+    point = F.struct("name", "stanza", lsn(F.col("i") + 256).alias("lsn"), F.lit(1).alias("timeline"), F.concat(F.lit("point"), g).alias("restore_point"))
+    barriers = every.groupBy("r_regionkey").agg(F.collect_list(point).alias("shards")).select(F.concat(F.lit("b"), g).alias("id"), F.expr("timestamp '2025-03-01' + make_dt_interval(r_regionkey * 10 + 7)").alias("time"), g.alias("topology_generation"), "shards")
     return temporal.Catalog(topologies, barriers, backups)
 
 
-@registered("SELECT s AS shard, 'st-' || s AS stanza, '1F-' || s AS \"set\", 'time' AS target_type, '2026-07-16T11:15:00Z' AS target_value, false AS target_exclusive, 'latest' AS target_timeline, CAST(NULL AS VARCHAR) AS verify_lsn FROM (VALUES ('a'), ('b'), ('sys')) v(s)")
+def _restored(generation: int, kind: str, value: str, exclusive: bool, timeline: str, verify: str) -> str:
+    return (
+        f"WITH s AS (SELECT n_nationkey AS i, 'n' || n_nationkey AS name, 'stanza-' || n_nationkey AS stanza FROM nation WHERE n_regionkey < {generation} UNION ALL SELECT 60, 'sys', 'stanza-sys') "
+        f"SELECT name AS shard, stanza, 'set-{generation}-' || name AS \"set\", '{kind}' AS target_type, {value} AS target_value, {str(exclusive).lower()} AS target_exclusive, '{timeline}' AS target_timeline, CAST({verify} AS VARCHAR) AS verify_lsn FROM s"
+    )
+
+
+@registered(_restored(3, "time", "'2025-03-26T11:15:00Z'", False, "latest", "NULL"))
 def restore_plan_time(spark, sf_dir):
     from datetime import datetime
 
-    return temporal.resolve(restore_catalog(spark), time=datetime(2026, 7, 16, 11, 15))
+    return temporal.resolve(restore_catalog(spark, sf_dir), time=datetime(2025, 3, 26, 11, 15))
 
 
-@registered("SELECT s AS shard, 'st-' || s AS stanza, '2F-' || s AS \"set\", 'name' AS target_type, 'rp2' AS target_value, false AS target_exclusive, '1' AS target_timeline, '0/2500' AS verify_lsn FROM (VALUES ('c'), ('d'), ('e'), ('f'), ('sys')) v(s)")
+@registered(_restored(2, "name", "'point2'", False, "1", "'0/' || to_hex(2 * 4096 + i + 256)"))
 def restore_plan_barrier(spark, sf_dir):
-    return temporal.resolve(restore_catalog(spark), barrier="b2")
+    return temporal.resolve(restore_catalog(spark, sf_dir), barrier="b2")
+
+
+@registered(_restored(4, "lsn", "'0/' || to_hex(4 * 4096 + i)", True, "1", "'0/' || to_hex(4 * 4096 + i)"))
+def restore_plan_backup(spark, sf_dir):
+    return temporal.resolve(restore_catalog(spark, sf_dir), backup="bk4")
 
 
-@registered("SELECT s AS shard, 'st-' || s AS stanza, '2F-' || s AS \"set\", 'lsn' AS target_type, '0/2000' AS target_value, true AS target_exclusive, '1' AS target_timeline, '0/2000' AS verify_lsn FROM (VALUES ('c'), ('d'), ('e'), ('f'), ('sys')) v(s)")
+@registered(_restored(5, "lsn", "'0/' || to_hex(5 * 4096 + i)", True, "1", "'0/' || to_hex(5 * 4096 + i)"))
 def restore_plan_latest(spark, sf_dir):
-    return temporal.resolve(restore_catalog(spark), latest=True)
+    return temporal.resolve(restore_catalog(spark, sf_dir), latest=True)
 
 
 @registered(
@@ -450,11 +480,15 @@ def failover_election(spark, sf_dir):
     return election.elect(spark.sql(_INSTANCES.replace("s_suppkey // 5", "s_suppkey div 5")))
 
 
-@registered("SELECT lower('public.' || n) AS \"table\", min(c) AS first_config, max(c) AS second_config FROM (SELECT p_name AS n, p_brand AS c FROM part WHERE p_partkey < 5 UNION ALL SELECT upper(p_name), 'Z' FROM part WHERE p_partkey < 3) GROUP BY 1 HAVING count(*) = 2")
+@registered(
+    "WITH c AS (SELECT 'public.' || lower(p_name) AS t, p_brand AS c FROM part UNION ALL SELECT 'public.' || lower(p_name), p_type FROM part), r AS (SELECT t, c, row_number() OVER (PARTITION BY t ORDER BY c) AS n, first_value(c) OVER (PARTITION BY t ORDER BY c) AS f FROM c) "
+    "SELECT t AS \"table\", f AS first_config, c AS second_config FROM r WHERE n = 2"
+)
 def duplicate_tables(spark, sf_dir):
+    """Tables that several configurations declare, under names of any case, in the default schema given or not."""
     p = table(spark, sf_dir, "part")
-    one = p.filter("p_partkey < 5").select(F.col("p_brand").alias("config"), F.lit("").alias("schema"), F.col("p_name").alias("name"))
-    two = p.filter("p_partkey < 3").select(F.lit("Z").alias("config"), F.lit("PUBLIC").alias("schema"), F.upper("p_name").alias("name"))
+    one = p.select(F.col("p_brand").alias("config"), F.lit("").alias("schema"), F.col("p_name").alias("name"))
+    two = p.select(F.col("p_type").alias("config"), F.lit("PUBLIC").alias("schema"), F.upper("p_name").alias("name"))
     return topology.duplicate_tables(one.unionByName(two))
 
 
@@ -465,9 +499,16 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).sql(_SINGLE, STRICT)
 
 
+def _all() -> None:
+    """The rest of the registered queries, which use those of this module."""
+    from keyspan import registry_control, registry_plans, registry_streams  # noqa: F401
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLES)

@@ -12,6 +12,7 @@ from keyspan.operators import instance_config as I
 from keyspan.operators import temporal as R
 from keyspan.operators import topology as T
 from keyspan.operators.merge import concat, merge
+from keyspan.operators.running import last_value, running_sum
 from keyspan.plans.catalog import Topology, TopologyError
 from keyspan.plans.scatter import SortKey
 from keyspan.plans.sql import SqlError
@@ -19,199 +20,94 @@ from keyspan.plans.sql import SqlError
 # --- restores -------------------------------------------------------------------------------------------------------
 
 
-def at(minutes):
-    return datetime(2026, 7, 16, 10) + timedelta(minutes=minutes)
+def at(hours):
+    return datetime(2025, 3, 3) + timedelta(hours=hours)
+
+
+SHARD, SAVED, POINT = "name:string,stanza:string,role:string,state:string", "name:string,stanza:string,label:string,stop_lsn:string,timeline:int,stop_time:timestamp", "name:string,stanza:string,lsn:string,timeline:int,restore_point:string"
+
+
+@pytest.fixture
+def catalog(spark):
+    """Two shards and a system shard, of which the first is split on the second day: a backup and a barrier on either."""
+    days = [(1, ["north", "south", "meta"]), (2, ["north-low", "north-high", "south", "meta"])]
+    home = lambda n: f"home/{n}"
+    tables = [("public", "visits", "sharded", "visitor", "uuid"), ("public", "countries", "global", None, None)]
+    topologies = [(g, at(24 * (g - 1)), 5 * g, "xxhash64_v1", [(n, home(n), "system" if n == "meta" else "data", "Serving") for n in names], tables) for g, names in days]
+    backups = [(f"night{g}", at(24 * g - 18), g, [(n, home(n), f"{n}@{g}", f"{g}/40", 1, at(24 * g - 18 - i)) for i, n in enumerate(names)]) for g, names in days]
+    barriers = [(f"noon{g}", at(24 * g - 12), g, [(n, home(n), f"{g}/80", 1, f"mark-{g}") for n in names]) for g, names in days]
+    return R.Catalog(
+        spark.createDataFrame(topologies, f"generation int, valid_from timestamp, epoch int, hash_function string, shards array<struct<{SHARD}>>, tables array<struct<schema:string,name:string,type:string,shard_key_column:string,shard_key_type:string>>"),
+        spark.createDataFrame(barriers, f"id string, time timestamp, topology_generation int, shards array<struct<{POINT}>>"),
+        spark.createDataFrame(backups, f"id string, completed_at timestamp, topology_generation int, shards array<struct<{SAVED}>>"),
+    )
 
 
 def plan(catalog, **target):
     return {r["shard"]: r for r in R.resolve(catalog, **target).collect()}
 
 
-def test_restore_targets(spark):
-    c = registry.restore_catalog(spark)
-    early = plan(c, time=at(75))
-    assert set(early) == {"a", "b", "sys"} and early["a"]["set"] == "1F-a" and early["a"]["target_timeline"] == "latest"
-    assert set(plan(c, time=at(120))) == {"c", "d", "e", "f", "sys"}
-    named = plan(c, barrier="b1")
-    assert named["a"]["target_value"] == "rp1" and named["a"]["verify_lsn"] == "0/1500" and not named["a"]["target_exclusive"]
-    stop = plan(c, backup="bk1")
-    assert stop["b"]["target_type"] == "lsn" and stop["b"]["target_exclusive"] and stop["b"]["target_value"] == "0/1000"
-    assert plan(c, latest=True)["c"]["set"] == "2F-c"
+def test_restore_targets(catalog):
+    early = plan(catalog, time=at(20))
+    assert set(early) == {"north", "south", "meta"} and early["north"]["set"] == "north@1" and early["north"]["target_timeline"] == "latest"
+    assert set(plan(catalog, time=at(40))) == {"north-low", "north-high", "south", "meta"}
+    named = plan(catalog, barrier="noon1")
+    assert named["south"]["target_value"] == "mark-1" and named["south"]["verify_lsn"] == "1/80" and not named["south"]["target_exclusive"]
+    stop = plan(catalog, backup="night1")
+    assert stop["south"]["target_type"] == "lsn" and stop["south"]["target_exclusive"] and stop["south"]["target_value"] == "1/40"
+    assert plan(catalog, latest=True)["north-low"]["set"] == "north-low@2"
 
 
-@pytest.mark.parametrize("target,why", [({}, "exactly one"), ({"barrier": "b1", "latest": True}, "exactly one"), ({"barrier": "nope"}, "not in the catalog"), ({"time": at(-1)}, "before the first"), ({"time": at(10)}, "old enough"), ({"time": at(91)}, "old enough")])
-def test_restores_that_are_refused(spark, target, why):
+@pytest.mark.parametrize("target,why", [({}, "exactly one"), ({"barrier": "noon1", "latest": True}, "exactly one"), ({"barrier": "never"}, "not in the catalog"), ({"time": at(-1)}, "before the first"), ({"time": at(2)}, "old enough"), ({"time": at(25)}, "old enough")])
+def test_restores_that_are_refused(catalog, target, why):
     with pytest.raises(R.RestoreError, match=why):
-        R.resolve(registry.restore_catalog(spark), **target)
+        R.resolve(catalog, **target)
 
 
-def test_a_catalog_that_contradicts_itself(spark):
-    c = registry.restore_catalog(spark)
+def test_a_catalog_that_contradicts_itself(catalog):
+    c = catalog
     with pytest.raises(R.RestoreError, match="more than once"):
         R.resolve(R.Catalog(c.topologies, c.barriers, c.backups.union(c.backups)), latest=True)
-    other = c.backups.withColumn("shards", F.transform("shards", lambda s: s.withField("stanza", F.lit("st-a"))))
+    other = c.backups.withColumn("shards", F.transform("shards", lambda s: s.withField("stanza", F.lit("home/south"))))
     with pytest.raises(R.RestoreError, match="would be restored from"):
-        R.resolve(R.Catalog(c.topologies, c.barriers, other), backup="bk1")
+        R.resolve(R.Catalog(c.topologies, c.barriers, other), backup="night1")
     fewer = c.backups.withColumn("shards", F.slice("shards", 1, 2))
     with pytest.raises(R.RestoreError, match="has no plan"):
-        R.resolve(R.Catalog(c.topologies, c.barriers, fewer), backup="bk1")
+        R.resolve(R.Catalog(c.topologies, c.barriers, fewer), backup="night1")
     unhashed = c.topologies.withColumn("hash_function", F.lit("other"))
     with pytest.raises(R.RestoreError, match="not known"):
         R.resolve(R.Catalog(unhashed, c.barriers, c.backups), latest=True)
 
 
-# --- elections ------------------------------------------------------------------------------------------------------
-
-_COLUMNS = "shard string, pod string, host string, ready boolean, is_primary boolean, is_standby boolean, received_lsn decimal(20,0), wal_receiver boolean, observed boolean, system_id decimal(20,0), timeline int, committed string"
-
-
-def pod(name, role="s", lsn=0, ready=True, seen=True, receiving=False, host="h", committed=None, system=1, line=1):
-    return ("x", name, host, ready, role == "p", role == "s", lsn, receiving, seen, system, line, committed)
-
-
-def elected(spark, *pods):
-    from decimal import Decimal
-
-    rows = [(*p[:6], Decimal(p[6]), *p[7:9], None if p[9] is None else Decimal(p[9]), *p[10:]) for p in pods]
-    r = E.elect(spark.createDataFrame(rows, _COLUMNS)).first()
-    return (r["warranted"], r["wait"], r["target"])
-
-
-NOTHING, WAIT = (False, False, None), (True, True, None)
-
-
-@pytest.mark.parametrize(
-    "pods,expected",
-    [
-        ([pod("a", "p"), pod("b")], NOTHING),
-        ([pod("a", ready=False)], NOTHING),
-        ([pod("a", lsn=5), pod("b", lsn=7)], (True, False, "b")),
-        ([pod("b", lsn=7), pod("a", lsn=7)], (True, False, "a")),
-        ([pod("a", "p", ready=False), pod("b")], WAIT),
-        ([pod("a", seen=False, ready=False), pod("b")], WAIT),
-        ([pod("a", seen=False, ready=False, host=""), pod("b")], (True, False, "b")),
-        ([pod("a", "?"), pod("b")], WAIT),
-        ([pod("a", receiving=True), pod("b")], WAIT),
-        ([pod("a", ready=False, lsn=9), pod("b", lsn=7)], WAIT),
-        ([pod("a", "?", committed="a", lsn=7), pod("b", committed="a", lsn=7)], (True, False, "a")),
-        ([pod("a", "?", committed="a", lsn=6), pod("b", committed="a", lsn=7)], WAIT),
-        ([pod("b", committed="a", lsn=7)], WAIT),
-    ],
-)
-def test_election(spark, pods, expected):
-    assert elected(spark, *pods) == expected
-
-
-def test_identity(spark):
-    from decimal import Decimal
-
-    def verdicts(pods, latch, line, malformed=False):
-        rows = [(*p[:6], Decimal(p[6]), *p[7:9], None if p[9] is None else Decimal(p[9]), *p[10:]) for p in pods]
-        latched = spark.createDataFrame([("x", None if latch is None else Decimal(latch), line, malformed)], "shard string, latched_id decimal(20,0), latched_timeline int, malformed boolean")
-        got = E.assess_identity(spark.createDataFrame(rows, _COLUMNS), latched).collect()
-        return {r["pod"]: r["verdict"] for r in got}, {r["suppress_primary"] for r in got}
-
-    assert verdicts([pod("a", "p"), pod("b", system=2)], 1, 1) == ({"a": "kept", "b": "foreign"}, {False})
-    assert verdicts([pod("a", "p", line=0), pod("b")], 1, 1) == ({"a": "claimant", "b": "kept"}, {True})
-    assert verdicts([pod("a", line=2), pod("b", system=None)], 1, 1) == ({"a": "blocked", "b": "blocked"}, {False})
-    assert verdicts([pod("a"), pod("b", system=2)], None, None) == ({"a": "conflict", "b": "conflict"}, {True})
-    assert verdicts([pod("a")], 1, 1, True) == ({"a": "unverifiable"}, {True})
-    assert verdicts([pod("a", "p", line=2, committed="a")], 1, 1) == ({"a": "kept"}, {False})
-
-
-def test_status_and_phases(spark):
-    def status(pods, replicas=2, had=True):
-        shards = spark.createDataFrame([("x", replicas, had, "x")], "shard string, replicas int, had_primary boolean, prefix string")
-        r = E.shard_status(spark.createDataFrame(pods, "shard string, pod string, ready boolean, role string"), shards).first()
-        return (r["primary"], r["phase"])
-
-    assert status([("x", "x-0", True, "primary"), ("x", "x-1", True, "replica")]) == ("x-0", "Ready")
-    assert status([("x", "x-0", True, "primary"), ("x", "x-9", True, "replica")]) == ("x-0", "Degraded")
-    assert status([("x", "x-0", True, "primary"), ("x", "x-1", True, "primary")]) == (None, "Degraded")
-    assert status([("x", "x-0", False, "primary")], had=False) == ("x-0", "Provisioning")
-    assert status([("x", "x-0", False, "")]) == (None, "Degraded")
-    phases = spark.createDataFrame([("c", "Ready"), ("c", "Ready"), ("d", "Ready"), ("d", "Provisioning"), ("e", "Provisioning"), ("e", "Degraded")], "cluster string, phase string")
-    assert {r["cluster"]: r["phase"] for r in E.cluster_phase(phases).collect()} == {"c": "Ready", "d": "Provisioning", "e": "Degraded"}
-
-
-# --- topology -------------------------------------------------------------------------------------------------------
-
-
-def compiled(spark, seed=0, **change):
-    rng = random.Random(seed)
-    mixed = lambda rows: rng.sample(rows, len(rows))
-    shards = change.get("shards", [("s0", "", "80", "data", True, "p0"), ("s1", "80", "", "data", True, "p1"), ("old", "", "", "data", False, None), ("sys", "", "", "system", True, "p9")])
-    pods = [("s0", "p0", True, "primary"), ("s0", "p2", True, "replica"), ("s0", "p3", False, "replica"), ("s1", "p1", False, "primary"), ("sys", "p9", True, "primary")]
-    tables = change.get("tables", [("b", "", "orders", "sharded", "k", "int"), ("a", "public", "notes", "global", None, None)])
-    return T.compile_view(
-        "c", None, "xxhash64_v1",
-        spark.createDataFrame(mixed(shards), "shard string, start string, end string, role string, serving boolean, current_primary string"),
-        spark.createDataFrame(mixed(pods), "shard string, pod string, ready boolean, role string"),
-        spark.createDataFrame(mixed([(f"p{i}", f"h{i}", 5432) for i in range(10)]), "pod string, host string, port int"),
-        spark.createDataFrame(mixed(tables), "config string, schema string, name string, type string, key string, key_type string"),
-        ["g2", "g1"],
-    ).first()
-
-
-def test_compiling_is_canonical(spark):
-    one = compiled(spark, 1)
-    assert one == compiled(spark, 2)
-    by = {s["name"]: s for s in one["shards"]}
-    assert by["s0"]["primary"]["host"] == "h0" and [(r["pod"], r["can_read"]) for r in by["s0"]["replicas"]] == [("p2", True), ("p3", False)]
-    assert by["s1"]["primary"] is None and by["old"]["state"] == "Hidden" and "sys" not in by
-    assert one["sequence_endpoint"]["host"] == "h9" and one["gates"] == ["g1", "g2"] and [t["name"] for t in one["tables"]] == ["notes", "orders"]
-    with pytest.raises(T.CompileError, match="a and b"):
-        compiled(spark, tables=[("b", "", "Orders", "global", None, None), ("a", "public", "orders", "global", None, None)])
-    with pytest.raises(T.CompileError, match="serving"):
-        compiled(spark, shards=[("s0", "", "80", "data", True, None)])
-
-
-def test_topology_documents():
-    doc = {"epoch": 1, "topologyGeneration": 1, "writeLeaseSeconds": 10, "hashFunction": "xxhash64_v1", "shards": [{"name": "s0", "keyRange": {"start": "", "end": "80"}, "state": "Serving"}, {"name": "s1", "keyRange": {"start": "80", "end": ""}, "state": "Serving"}], "tables": [{"schema": "public", "name": "orders", "type": "sharded", "shardKeyColumn": "customer_id", "shardKeyType": "int"}]}
-    t = Topology.from_json(doc).validate().routable()
-    assert t.catalog().all() == ["s0", "s1"]
-    assert [t.catalog().route(p) for p in (0x34C96ACDCADB1BBB, 0x9F1FFC793B8A47DA)] == ["s0", "s1"]
-    for change in ({"epoch": 0}, {"writeLeaseSeconds": 61}, {"topologyGeneration": 0}, {"hashFunction": "x"}, {"shards": doc["shards"][:1]}):
-        with pytest.raises(TopologyError):
-            Topology.from_json(doc | change).validate()
-    with pytest.raises(KeyspaceError):
-        Topology.from_json(doc | {"shards": [{"name": "s", "keyRange": {"start": "8000"}}]})
-    for change in ({"gates": [{"id": "g"}]}, {"tables": [{"schema": "public", "name": "o", "type": "sharded", "shardKeyColumn": "k"}]}):
-        with pytest.raises(TopologyError):
-            Topology.from_json(doc | change).routable()
-
-
-def test_splits_and_phases():
-    T.check_split(KeyRange(0, 1 << 62), KeyRange(0, 1 << 62).split_evenly(3))
-    for bad in ([KeyRange()], KeyRange().split_evenly(3)[:2], [KeyRange(0, 5), KeyRange(6)], [KeyRange(0, 7), KeyRange(6)]):
-        with pytest.raises(KeyspaceError):
-            T.check_split(KeyRange(), bad)
-    steps = ["validated", "provisioned", "seeded", "caught-up", "cutover"]
-    assert T.reshard_phase([*steps, "rolled-back", "caught-up", "cutover", "committed"]) == ("SwitchedForward", 2)
-    assert T.reshard_phase(["seeded", "validated", "invalid", "provisioned"]) == ("Failed", 1)
-    assert [r[0] for r in T.desired_layout(2, "c")] == ["c-0", "c-1", "c-system"]
-
-
-# --- merges ---------------------------------------------------------------------------------------------------------
-
-
-def test_merge_orders_like_the_database(spark):
-    nan, inf = float("nan"), float("inf")
-    one = spark.createDataFrame([(1, nan), (2, None), (3, 10.0)], "i int, v double")
-    two = spark.createDataFrame([(4, 9.0), (5, inf), (6, -0.0), (7, 0.0)], "i int, v double")
-    ids = lambda *keys: [r["i"] for r in merge([("a", one), ("b", two)], list(keys)).collect()]
-    assert ids(SortKey("v"), SortKey("i")) == [6, 7, 4, 3, 5, 1, 2]
-    assert ids(SortKey(2, True, True), SortKey(1)) == [2, 1, 5, 3, 4, 6, 7]
-    arrived = lambda df: df.withColumn("n", F.monotonically_increasing_id())
-    same = spark.createDataFrame([(1, 1.0), (2, 1.0)], "i int, v double").coalesce(1)
-    assert [r["i"] for r in merge([("b", arrived(same)), ("a", arrived(same))], [SortKey("v")], "n").collect()] == [1, 2, 1, 2]
-    with pytest.raises(SqlError):
-        concat([one, two.withColumnRenamed("v", "w")])
-    for key in (SortKey("x"), SortKey(3)):
-        with pytest.raises(SqlError):
-            merge([("a", one)], [key])
-    with pytest.raises(SqlError):
-        merge([("a", one.withColumn("t", F.lit("x")))], [SortKey("t")])
+@pytest.mark.parametrize("few", [1000, 3])
+def test_as_of_with_few_and_many_versions(spark, monkeypatch, few):
+    """Sent along or merged by time, the same versions are found, ties and times before the first included."""
+    monkeypatch.setattr(R, "FEW", few)
+    rng = random.Random(4)
+    versions = [(at(rng.randint(5, 60)), g) for g in range(1, 40)]
+    targets = [(i, at(rng.randint(0, 70))) for i in range(300)] + [(300, None)]
+    got = {r["i"]: r["generation"] for r in R.topology_at(spark.createDataFrame(targets, "i int, t timestamp"), spark.createDataFrame(versions, "valid_from timestamp, generation int")).collect()}
+    assert got == {i: max(((v, g) for v, g in versions if t and v <= t), default=(None, None))[1] for i, t in targets}
+    saved = [(f"s{rng.randint(0, 3)}", f"l{i:02}", at(rng.randint(5, 60))) for i in range(60)]
+    wanted = [(i, f"s{rng.randint(0, 4)}", at(rng.randint(0, 70))) for i in range(300)]
+    got = {r["i"]: (r["label"], r["stop_time"]) for r in R.newest_backup_before(spark.createDataFrame(wanted, "i int, stanza string, t timestamp"), spark.createDataFrame(saved, "stanza string, label string, stop_time timestamp")).collect()}
+    for i, stanza, t in wanted:
+        own = [(stop, label) for s, label, stop in saved if s == stanza and stop <= t]
+        last = max((stop for stop, _ in own), default=None)
+        assert got[i] == (min((label for stop, label in own if stop == last), default=None), last)
+
+
+def test_running_sums_and_last_values(spark):
+    rng = random.Random(7)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(("a", "b", None)), n, rng.choice((None, 1, 2, 5))) for n in rng.sample(range(10_000), 400)]
+    df = spark.createDataFrame(rows, "g string, n int, v int")
+    sums = {r["n"]: r["s"] for r in running_sum(df, ["g"], ["n"], F.col("v").cast("long"), "s").collect()}
+    last = {r["n"]: r["l"] for r in last_value(df, ["g"], ["n"], F.col("v"), "l").collect()}
+    for g, n, _ in rows:
+        own = [v for _, v in sorted(((m, v) for h, m, v in rows if h == g and m <= n), key=lambda x: x[0]) if v is not None]
+        assert sums[n] == sum(own) and last[n] == (own[-1] if own else None)
+    assert running_sum(df.limit(0), ["g"], ["n"], F.col("v").cast("long"), "s").count() == 0
+    assert {r["n"]: r["s"] for r in running_sum(df, [], ["n"], F.lit(1), "s").collect()} == {n: i + 1 for i, n in enumerate(sorted(n for _, n, _ in rows))}
 
 
 # --- control --------------------------------------------------------------------------------------------------------
