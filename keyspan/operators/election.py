@@ -145,3 +145,38 @@ def catch_up(targets: DataFrame, bound: int = LAG_BOUND) -> DataFrame:
 def ordinal(pod: str, prefix: str):
     """Column expression: n of a pod named prefix-n, else null."""
     return F.regexp_extract(F.col(pod), rf"\A{prefix}-([0-9]+)\z", 1).try_cast("int")
+
+
+def observed_status(polls: DataFrame) -> DataFrame:
+    """polls (in_recovery, accepting, fenced, ...) with role and ready: an instance that is held down is never ready, whatever it last said."""
+    return polls.withColumns({"role": F.when(F.col("in_recovery"), "standby").otherwise("primary"), "ready": F.col("accepting") & ~F.col("fenced")})
+
+
+def phase_of_shard(node_phase: str = "phase"):
+    """Column expression: the phase of a shard whose node is in a phase; one that isn't known yet is Provisioning."""
+    return F.when(F.col(node_phase).isin("Ready", "FailingOver", "Degraded"), F.col(node_phase)).otherwise("Provisioning")
+
+
+def identity_summary(assessed: DataFrame, latched: DataFrame) -> DataFrame:
+    """(shard, status, reason, pods): what one poll says of each shard's identity, worst first; assessed as assess_identity gives it.
+
+    A shard without a latch and without a conflict has no row. pods are those that aren't believed, by name: few, as a
+    shard's instances are. An instance that has run but can't be seen leaves the matter open.
+    """
+    suspect = F.col("verdict").isin("foreign", "claimant", "conflict")
+    s = assessed.groupBy("shard").agg(
+        F.bool_or(F.col("verdict") == "conflict").alias("conflict"),
+        F.sort_array(F.collect_set(F.when(suspect, F.col("pod")))).alias("pods"),
+        F.bool_or(~F.coalesce("observed", F.lit(False)) & (F.coalesce("host", F.lit("")) != "")).alias("unseen"),
+    )
+    s = s.join(latched.select("shard", "latched_id", "malformed"), "shard")
+    known = F.coalesce("latched_id", F.lit(0).cast("decimal(20,0)")) != 0
+    reason = (
+        F.when(F.coalesce("malformed", F.lit(False)), "MalformedIdentity")
+        .when(F.col("conflict"), "IdentityConflict")
+        .when(known & (F.size("pods") > 0), "ForeignInstance")
+        .when(known & F.col("unseen"), "IncompleteObservation")
+        .when(known, "Latched")
+    )
+    status = F.when(F.col("reason") == "Latched", "True").when(F.col("reason") == "IncompleteObservation", "Unknown").otherwise("False")
+    return s.withColumn("reason", reason).filter("reason is not null").select("shard", status.alias("status"), "reason", "pods")

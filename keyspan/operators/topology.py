@@ -154,3 +154,18 @@ def lsn(text: Column) -> Column:
 def lsn_text(number: Column) -> Column:
     whole = F.floor(number / (1 << 32)).cast("bigint")
     return F.concat(F.hex(whole), F.lit("/"), F.hex((number - whole * (1 << 32)).cast("bigint")))
+
+
+def shard_nodes(shards: DataFrame) -> DataFrame:
+    """shards (cluster, shard, placement, colocate_with) with node, and whether the cluster owns it.
+
+    Shared: all shards of a cluster on one node, its own or that of the cluster it is colocated with. Else a node a shard.
+    """
+    host = F.coalesce("colocate_with", "cluster")
+    shared = F.col("placement") == "shared"
+    return shards.withColumns({"node": F.when(shared, F.concat(host, F.lit("-shared"))).otherwise(F.col("shard")), "owned": ~shared | F.col("colocate_with").isNull()})
+
+
+def identifier(name: Column) -> Column:
+    """A name of any object as part of a database identifier: what is no ASCII letter, digit or underscore becomes one."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")

@@ -444,3 +444,44 @@ def user_settings(spark, sf_dir):
     return rows.mapInPandas(run, "s_suppkey long, name string, applied string")
 
 
+# --- more of status and layout ----------------------------------------------------------------------------------------
+
+
+@registered("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'primary' ELSE 'standby' END AS role, s_suppkey % 5 <> 1 AND s_suppkey % 7 <> 2 AS ready FROM supplier")
+def instance_status(spark, sf_dir):
+    polls = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3 != 0).alias("in_recovery"), (F.col("s_suppkey") % 5 != 1).alias("accepting"), (F.col("s_suppkey") % 7 == 2).alias("fenced"))
+    return election.observed_status(polls).select("s_suppkey", "role", "ready")
+
+
+@registered(_STATUS + "SELECT shard, CASE WHEN shard % 7 = 3 THEN 'FailingOver' WHEN shard % 7 = 5 THEN 'Provisioning' ELSE phase END AS phase FROM s")
+def node_phases(spark, sf_dir):
+    """Phases of shards, each on a node of its own, from their nodes' phases: failing over is passed on, an unknown phase is none."""
+    s = election.shard_status(*_views(spark, sf_dir, _ROLES, _WANTED))
+    nodes = s.withColumn("phase", F.when(F.col("shard") % 7 == 3, "FailingOver").when(F.col("shard") % 7 == 5, "Bootstrapping").otherwise(F.col("phase")))
+    return nodes.select("shard", election.phase_of_shard().alias("phase"))
+
+
+@registered(
+    f"WITH i AS ({_SEEN}), l AS ({_LATCHED}), g AS (SELECT shard, count(DISTINCT system_id) FILTER (WHERE observed AND system_id <> 0) AS lineages FROM i GROUP BY shard), "
+    "v AS (SELECT i.shard, pod, host, observed, latched_id, malformed, NOT malformed AND latched_id = 0 AND lineages > 1 AS conflict, NOT malformed AND latched_id <> 0 AND (system_id <> 0 AND system_id <> latched_id "
+    "OR is_primary AND NOT coalesce(pod = committed, false) AND NOT (system_id = latched_id AND latched_timeline <> 0 AND timeline = latched_timeline)) AS fenced FROM i JOIN l USING (shard) JOIN g USING (shard)), "
+    "s AS (SELECT shard, any_value(latched_id) <> 0 AS known, any_value(malformed) AS bad, bool_or(conflict) AS conflict, coalesce(string_agg(pod, ',' ORDER BY pod) FILTER (WHERE fenced OR conflict), '') AS pods, bool_or(NOT observed AND host <> '') AS unseen FROM v GROUP BY shard), "
+    "r AS (SELECT *, CASE WHEN bad THEN 'MalformedIdentity' WHEN conflict THEN 'IdentityConflict' WHEN known AND pods <> '' THEN 'ForeignInstance' WHEN known AND unseen THEN 'IncompleteObservation' WHEN known THEN 'Latched' END AS reason FROM s) "
+    "SELECT shard, CASE reason WHEN 'Latched' THEN 'True' WHEN 'IncompleteObservation' THEN 'Unknown' ELSE 'False' END AS status, reason, pods FROM r WHERE reason IS NOT NULL"
+)
+def identity_summaries(spark, sf_dir):
+    instances, latched = _views(spark, sf_dir, _SEEN, _LATCHED)
+    found = election.identity_summary(election.assess_identity(instances, latched.drop("current")), latched)
+    return found.withColumn("pods", F.array_join("pods", ","))
+
+
+@registered("SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN CASE WHEN s_nationkey % 2 = 0 THEN 'c1' ELSE 'c' || s_nationkey END || '-shared' ELSE s_name END AS node, s_nationkey % 3 <> 0 OR s_nationkey % 2 <> 0 AS owned FROM supplier")
+def shard_nodes(spark, sf_dir):
+    n = F.col("s_nationkey")
+    shards = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("c"), n).alias("cluster"), F.col("s_name").alias("shard"), F.when(n % 3 == 0, "shared").otherwise("dedicatedInstance").alias("placement"), F.when((n % 3 == 0) & (n % 2 == 0), "c1").alias("colocate_with"))
+    return topology.shard_nodes(shards).select("s_suppkey", "node", "owned")
+
+
+@registered("SELECT p_partkey, regexp_replace(p_name || '-' || p_brand || '.é', '[^A-Za-z0-9_]', '_', 'g') AS identifier FROM part")
+def seed_identifiers(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", topology.identifier(F.concat("p_name", F.lit("-"), "p_brand", F.lit(".é"))).alias("identifier"))

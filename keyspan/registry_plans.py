@@ -14,6 +14,7 @@ from keyspan.plans import log
 from keyspan.plans.catalog import TableDef, TableName
 from keyspan.plans.sql import SqlError
 from keyspan.registering import SCHEMA, SHARDS, registered, table
+from keyspan.sources import copytext
 from keyspan.sources.scratch import scratch
 from keyspan.sources.store import Fenced, Store, Unreachable
 
@@ -332,3 +333,17 @@ def sqlstates(spark, sf_dir):
     for what, text in (("transaction", "BEGIN"), ("two statements", "SELECT 1; SELECT 2"), ("broadcast", "CREATE TABLE t (a int)"), ("scattered count", "SELECT count(*) FROM orders"), ("no table", "SELECT * FROM missing"), ("no syntax", "SELECT * FROM")):
         out.append((what, code(lambda text=text: e.sql(text, STRICT))))
     return spark.createDataFrame(out, T._parse_datatype_string("what string, code string"))
+
+
+_TAGGED = [("INSERT 0 7", "INSERT 0"), ("SELECT 5", "SELECT"), ("SHOW", ""), ("UPDATE x", ""), ("DELETE 12", "DELETE"), ("CREATE TABLE", "")]
+
+
+@registered(
+    f"WITH t(t, prefix) AS (VALUES {', '.join(f'({i}, {_quoted(p)})' for i, (_, p) in enumerate(_TAGGED))}) SELECT c_custkey AS id, nullif(prefix, '') AS prefix, "
+    f"CASE WHEN c_custkey % {len(WRITES)} < 15 THEN 'INSERT 0' WHEN c_custkey % {len(WRITES)} < 27 THEN 'UPDATE' ELSE 'DELETE' END AS returning FROM customer JOIN t ON t = c_custkey % {len(_TAGGED)}"
+)
+def command_tags(spark, sf_dir):
+    """Command tags without their counts, and the tags of writes that return rows."""
+    tag = F.element_at(F.array(*[F.lit(t) for t, _ in _TAGGED]), (F.col("id") % len(_TAGGED) + 1).cast("int"))
+    routed = _routed(spark, sf_dir, WRITES)
+    return routed.select("id", copytext.counted_tag(tag).alias("prefix"), copytext.returning_tag(F.col("kind")).alias("returning"))

@@ -250,3 +250,13 @@ def reshard_switch(spark, sf_dir):
     split.run()
     read = lambda name, row: store.read(f"public.{name}", with_shard=True).select(F.lit(name).alias("table"), "shard", F.col(row).alias("row"), F.col(key[name]).alias("key"))
     return read("orders", "o_orderkey").unionByName(read("customer", "c_custkey"))
+
+
+@registered("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'keepalive' ELSE 'wal' END AS kind, CASE WHEN event_id % 4 <> 0 THEN event_id * 7 - 20 END AS wal_start, event_id * 7 AS wal_end, event_id + 5 AS server_time, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS reply, CASE WHEN event_id % 4 <> 0 THEN event_type END AS frame FROM events")
+def wal_envelopes(spark, sf_dir):
+    """Messages of a replication connection taken apart: positions, time, and the frame or whether an answer is wanted."""
+    n = F.col("event_id")
+    wal = F.concat(_raw("w"), _int(n * 7 - 20, 8), _int(n * 7, 8), _int(n + 5, 8), F.col("event_type").cast("binary"))
+    alive = F.concat(_raw("k"), _int(n * 7, 8), _int(n + 5, 8), F.when(n % 8 == 0, _raw(b"\1")).otherwise(_raw(b"\0")))
+    messages = table(spark, sf_dir, "events").select("event_id", F.when(n % 4 == 0, alive).otherwise(wal).alias("data"))
+    return pgoutput.unwrap(messages).withColumn("frame", F.decode("frame", "UTF-8"))

@@ -62,3 +62,13 @@ def typed(text: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.when(text == "t", True).when(text == "f", False).otherwise(text.cast("boolean"))
     return text.cast(kind)
+
+
+def counted_tag(tag):
+    """Column expression: a command tag without its row count; null for a tag that has none."""
+    return F.when(tag.rlike(r"\A.* [0-9]+\z"), F.regexp_replace(tag, r" [0-9]+\z", ""))
+
+
+def returning_tag(verb):
+    """Column expression: the tag, before its count, of a write that returns rows; null for other statements."""
+    return F.when(verb == "Insert", "INSERT 0").when(verb == "Update", "UPDATE").when(verb == "Delete", "DELETE")

@@ -227,6 +227,25 @@ def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def unwrap(messages: DataFrame) -> DataFrame:
+    """messages (data binary, ...) of a replication connection with kind, wal_start, wal_end, server_time and frame.
+
+    `wal` carries a frame, `keepalive` none, but reply says whether an answer is wanted. Anything else is an error.
+    """
+    data, tag = F.col("data"), F.substring("data", 1, 1)
+    number = lambda at: F.conv(F.hex(F.substring(data, at, 8)), 16, -10).cast("bigint")
+    wal = (tag == F.lit(b"w")) & (F.octet_length(data) >= 25)
+    alive = (tag == F.lit(b"k")) & (F.octet_length(data) == 18)
+    kind = F.when(wal, "wal").when(alive, "keepalive").otherwise(F.raise_error(F.lit("a replication message that is neither WAL nor a keepalive")))
+    rows = messages.withColumn("kind", kind)
+    is_wal = F.col("kind") == "wal"
+    rows = rows.withColumns({
+        "wal_start": F.when(is_wal, number(2)), "wal_end": F.when(is_wal, number(10)).otherwise(number(2)), "server_time": F.when(is_wal, number(18)).otherwise(number(10)),
+        "reply": F.when(~is_wal, F.substring(data, 18, 1) != F.lit(b"\0")), "frame": F.when(is_wal, F.expr("substring(data, 26)")),
+    })
+    return rows.drop("data")
+
+
 def commit_time(ts: str = "ts"):
     """Column expression: the time of microseconds since 2000-01-01 UTC."""
     return F.timestamp_micros(F.col(ts) + 946_684_800_000_000)
