@@ -62,7 +62,7 @@ def test_edges(spark):
 
 def test_an_id_with_several_texts(spark):
     rng = random.Random(2)
-    one, two, other = (prose(rng, 60) for _ in range(3))
+    one, two, other = (prose(rng, 150) for _ in range(3))
     docs = [(5, one), (5, two), (5, two), (9, edited(rng, two, 0.01)), (3, edited(rng, one, 0.01)), (7, other)]
     got = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}  # different texts named by one id share its node
