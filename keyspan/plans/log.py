@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from keyspan.plans import planner as P
 from keyspan.plans import scatter, sql
 from keyspan.plans.catalog import ShardCatalog, VSchema
-from keyspan.plans.sequences import omitted, rewrite_insert, row_count
+from keyspan.plans.sequences import insert_rows, omitted, rewrite_insert, row_count
 from keyspan.plans.sql import SqlError
 
 #: What a statement's route is called.
@@ -20,6 +20,9 @@ ROUTES = {P.SingleShard: "single", P.Scatter: "scatter", P.Broadcast: "broadcast
 
 
 def _by_row(df: DataFrame, schema: str, of: Callable[[dict], dict]) -> DataFrame:
+    """of each row, worked out by all cores: a log is read in as many tasks as its files have row groups, which may be one."""
+    spark = df.sparkSession
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
@@ -81,19 +84,23 @@ def scatter_log(statements: DataFrame, result: T.StructType) -> DataFrame:
 def ids_needed(statements: DataFrame, vschema: VSchema) -> DataFrame:
     """(id, text, columns, rows): the sequence-bound columns that each INSERT leaves out, and the ids that each of them takes."""
 
-    def of(row: dict) -> dict:
-        tree = sql.parse(row["text"]).trees[0]
-        missing = omitted(tree, vschema)
-        return {**row, "columns": [c for c, _ in missing], "rows": row_count(tree) if missing else 0}
+    def missing(parsed: sql.Parsed | SqlError) -> dict:
+        if isinstance(parsed, SqlError):
+            raise parsed
+        found = omitted(parsed.trees[0], vschema)
+        return {"columns": [c for c, _ in found], "rows": row_count(parsed.trees[0]) if found else 0}
 
-    return _by_row(statements.select("id", "text"), "id long, text string, columns array<string>, rows int", of)
+    shapes = sql.Shapes(missing)
+    return _by_row(statements.select("id", "text"), "id long, text string, columns array<string>, rows int", lambda row: {**row, **shapes(row["text"])})
 
 
 def with_ids(needed: DataFrame) -> DataFrame:
     """(id, text): INSERTs (id, text, columns, rows, first) with ids from `first` on for every column that they leave out."""
 
+    rows_of = sql.Shapes(insert_rows)
+
     def of(row: dict) -> dict:
         ids = {c: list(range(row["first"], row["first"] + row["rows"])) for c in row["columns"]}
-        return {"id": row["id"], "text": rewrite_insert(row["text"], ids) if ids else row["text"]}
+        return {"id": row["id"], "text": rewrite_insert(row["text"], ids, rows_of) if ids else row["text"]}
 
     return _by_row(needed.select("id", "text", "columns", "rows", "first"), "id long, text string", of)

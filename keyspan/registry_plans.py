@@ -15,7 +15,7 @@ from keyspan.plans.catalog import TableDef, TableName
 from keyspan.plans.sql import SqlError
 from keyspan.registering import SCHEMA, SHARDS, registered, table
 from keyspan.sources import copytext
-from keyspan.sources.scratch import scratch
+from keyspan.sources.scratch import kept, scratch
 from keyspan.sources.store import Fenced, Store, Unreachable
 
 # Statements about a customer {k} and another {k2}: (text, kind, route, code, shards, tables). Where shards is k it is
@@ -227,11 +227,12 @@ _WITH_IDS = {**SCHEMA, TableName("public", "orders"): TableDef("o_custkey", "int
 def seq_rewrite(spark, sf_dir):
     """INSERTs that leave a sequence-bound column out, with ids from one reserved block, dense in the statements' order."""
     texts = ["INSERT INTO orders (o_custkey) VALUES ({k})", "INSERT INTO orders (o_custkey, o_orderstatus) VALUES ({k}, 'a)'), ({k}, 'b')", "INSERT INTO orders (o_custkey, o_orderkey) VALUES ({k}, 5)"]
-    needed = running_sum(log.ids_needed(statements(spark, sf_dir, texts), _WITH_IDS), [], ["id"], F.col("rows").cast("long"), "upto")
+    needed = kept(log.ids_needed(statements(spark, sf_dir, texts), _WITH_IDS), "needed")  # dealt into ranges it is read twice
     store = Store(spark, scratch(spark, "sequences"))
     store.create_sequence("orders_id", 1000, start=1000)
-    first, _ = store.reserve("orders_id", max(1, needed.agg(F.max("upto")).first()[0] or 0))
-    return log.with_ids(needed.withColumn("first", F.lit(first) + F.col("upto") - F.col("rows")))
+    first, _ = store.reserve("orders_id", max(1, needed.agg(F.sum("rows")).first()[0] or 0))
+    numbered = running_sum(needed, [], ["id"], F.col("rows").cast("long"), "upto")
+    return log.with_ids(numbered.withColumn("first", F.lit(first) + F.col("upto") - F.col("rows")))
 
 
 @registered("SELECT n_nationkey, 1000 + row_number() OVER (ORDER BY n_nationkey) - 1 AS id, 10 - (row_number() OVER (ORDER BY n_nationkey) - 1) % 10 - 1 <= 2 AS refill FROM nation")
