@@ -40,16 +40,22 @@ def route_log(statements: DataFrame, vschema: VSchema, shards: ShardCatalog) ->
     """
     planner = P.Planner(vschema, shards)
 
-    def of(row: dict) -> dict:
-        out = {"id": row["id"], "kind": None, "route": "error", "shards": "", "code": "", "tables": "", "writes": False, "transaction": False, "fingerprint": None}
-        try:
-            parsed = sql.parse(row["text"] or "")
-        except SqlError as error:
-            return out | {"code": error.code}
+    def planned(parsed: sql.Parsed | SqlError) -> tuple[dict, P.Plan | None]:
+        out = {"kind": None, "route": "error", "shards": "", "code": "", "tables": "", "writes": False, "transaction": False, "fingerprint": None}
+        if isinstance(parsed, SqlError):
+            return out | {"code": parsed.code}, None
         out |= {"kind": ",".join(parsed.kinds), "tables": ",".join(str(P.table_name(t)) for t in parsed.tables), "writes": P.is_write(parsed), "transaction": P.is_transaction_control(parsed), "fingerprint": parsed.fingerprint}
         if len(parsed.trees) != 1:
-            return out | {"route": "reject", "code": P.UNSUPPORTED}
-        plan = planner.plan(parsed.kinds[0], parsed.trees[0])
+            return out | {"route": "reject", "code": P.UNSUPPORTED}, None
+        return out, planner.plan(parsed.kinds[0], parsed.trees[0])
+
+    shapes = sql.Shapes(planned)
+
+    def of(row: dict) -> dict:
+        out, plan = shapes(row["text"] or "")
+        out = {"id": row["id"], **out}
+        if plan is None:
+            return out
         if isinstance(plan, P.Parameterized) and row["args"] is not None:
             plan = P.resolve_bound(plan, row["args"], shards)
         hit = (plan.shard,) if isinstance(plan, P.SingleShard) else getattr(plan, "shards", ())
