@@ -75,16 +75,17 @@ def scatter_log(statements: DataFrame, result: T.StructType) -> DataFrame:
     result: the columns that the statements give. keys are name or position, direction and place of nulls.
     """
 
-    def of(row: dict) -> dict:
-        shape = scatter.classify(row["text"] or "")
+    def merged(parsed: sql.Parsed | SqlError) -> dict:
+        shape = scatter.shape_of(parsed)
         keys = ",".join(f"{k.column} {'desc' if k.descending else 'asc'} {'first' if k.nulls_first else 'last'}" for k in shape.keys)
         try:
             at = scatter.resolve_keys(result, shape.keys)
         except SqlError as error:
-            return {"id": row["id"], "shape": shape.kind, "keys": keys, "positions": "", "code": error.code}
-        return {"id": row["id"], "shape": shape.kind, "keys": keys, "positions": ",".join(map(str, at)), "code": ""}
+            return {"shape": shape.kind, "keys": keys, "positions": "", "code": error.code}
+        return {"shape": shape.kind, "keys": keys, "positions": ",".join(map(str, at)), "code": ""}
 
-    return _by_row(statements.select("id", "text"), "id long, shape string, keys string, positions string, code string", of)
+    shapes = sql.Shapes(merged)
+    return _by_row(statements.select("id", "text"), "id long, shape string, keys string, positions string, code string", lambda row: {"id": row["id"], **shapes(row["text"] or "")})
 
 
 def ids_needed(statements: DataFrame, vschema: VSchema) -> DataFrame:
