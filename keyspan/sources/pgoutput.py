@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from keyspan.operators.running import running_sum
+from keyspan.sources import pgoutput_batch
 
 
 class DecodeError(ValueError):
@@ -200,6 +202,32 @@ _READERS = {
 }
 
 
+def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, parallel: bool = False) -> pa.RecordBatch:
+    """A batch (shard, seq, frame, txn, in_stream) decoded: rows, begins and commits together, other frames one by one."""
+    shard, seq, frame, txn, in_stream = (batch.column(i) for i in range(5))
+    inside = in_stream.to_numpy(zero_copy_only=False).astype(bool)
+    read, columns = pgoutput_batch.decode(frame, inside, schema)
+    rest = np.flatnonzero(~read)
+    decoder, others = Decoder(parallel), []
+    for i, data in zip(rest.tolist(), frame.take(pa.array(rest)).to_pylist(), strict=True):
+        decoder.in_stream = bool(inside[i])
+        others.append(decoder.decode(data))
+    n = len(batch) - len(rest)
+    own = {"shard": shard, "seq": seq, "txn": txn}
+    place = np.empty(len(batch), np.int64)  # where each frame's row is once those read together are followed by the others
+    place[read], place[rest] = np.arange(n), np.arange(n, len(batch))
+    out = []
+    for f in schema:
+        if f.name in own:
+            out.append(own[f.name].cast(f.type))
+            continue
+        column = columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type)
+        if others:
+            column = pa.concat_arrays([column, pa.array([r.get(f.name) for r in others], f.type)]).take(pa.array(place))
+        out.append(column)
+    return pa.RecordBatch.from_arrays(out, schema=schema)
+
+
 def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
     """Decoded rows of frames (shard, seq, frame); seq is their order within a shard. A bad frame is an error.
 
@@ -216,13 +244,8 @@ def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(parallel)
         for batch in batches:
-            out = []
-            for shard, seq, frame, txn, in_stream in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                decoder.in_stream = in_stream
-                out.append({"shard": shard, "seq": seq, "txn": txn} | decoder.decode(frame))
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in arrow], schema=arrow)
+            yield decode_batch(batch, arrow, parallel)
 
     return rows.mapInArrow(run, schema)
 

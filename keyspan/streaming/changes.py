@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from keyspan.functions.keyspace import KeyRange, in_range, text_id_column
 from keyspan.operators.running import last_value, running_sum
+from keyspan.sources.scratch import kept
 
 ROW_OPS = ("insert", "update", "delete")
 #: Frames that can't be applied without guessing.
 REFUSED = ("truncate", "stream_start", "stream_stop", "stream_commit", "stream_abort", "begin_prepare", "prepare", "commit_prepared", "rollback_prepared", "stream_prepare")
 
+#: Descriptions of relations that are sent along with changes.
+FEW = 1000
+
 
 def fail(message: str | Column) -> Column:
     return F.raise_error(F.lit(message) if isinstance(message, str) else message)
@@ -33,6 +37,7 @@ def transactions(frames: DataFrame) -> DataFrame:
     """
     if "txn" not in frames.columns:
         frames = running_sum(frames, ["shard"], ["seq"], (F.col("op") == "begin").cast("long"), "txn")
+    frames = kept(frames, "frames")  # read for the commits and for all else; what decoded it does so once
     rows = frames.withColumn("op", F.when(F.col("op").isin(*REFUSED), fail(F.concat(F.lit("can't apply "), F.col("op")))).otherwise(F.col("op")))
     ends = rows.filter("op = 'commit'").select("shard", "txn", F.col("commit_lsn").alias("txn_lsn"), F.col("end_lsn").alias("txn_end"))
     # relations may be described between transactions
@@ -51,13 +56,26 @@ def _key(cells: Column) -> Column:
     return F.when(cells.isNotNull(), F.when(F.size(keys) > 0, usable).otherwise(fail("a change without a key")))
 
 
+def _related(committed: DataFrame, described: Column) -> DataFrame:
+    """Changes with the last description of their relation before them. Few descriptions are sent to all tasks; more are merged with the changes."""
+    by = ["shard", "rel_oid"]
+    told = committed.filter("op = 'relation'").select(*by, "seq", described.alias("relation"))
+    if told.limit(FEW + 1).count() > FEW:
+        return last_value(committed.filter(F.col("op").isin("relation", *ROW_OPS)), by, ["seq"], described, "relation").filter(F.col("op").isin(*ROW_OPS))
+    versions = told.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sort_array(F.collect_list(F.struct("seq", "relation"))).alias("__versions"))
+    rows = committed.filter(F.col("op").isin(*ROW_OPS))
+    same = rows["shard"].eqNullSafe(versions["__shard"]) & rows["rel_oid"].eqNullSafe(versions["__rel_oid"])
+    last = F.try_element_at(F.filter("__versions", lambda v: v["seq"] <= F.col("seq")), F.lit(-1))["relation"]
+    return rows.join(F.broadcast(versions), same, "left").withColumn("relation", last).drop("__shard", "__rel_oid", "__versions")
+
+
 def row_changes(committed: DataFrame) -> DataFrame:
     """changes from transactions(): relations are looked up as of each change.
 
     Updates and deletes need a key identity (default or index); full and nothing are errors, for they may match several rows.
     """
     described = F.when(F.col("op") == "relation", F.struct("schema", "table", "replica_identity", "columns"))
-    rows = last_value(committed.filter(F.col("op").isin("relation", *ROW_OPS)), ["shard", "rel_oid"], ["seq"], described, "relation").filter(F.col("op").isin(*ROW_OPS))
+    rows = _related(committed, described)
     rows = rows.withColumn("relation", F.when(F.col("relation").isNotNull() | ~F.col("op").isin(*ROW_OPS), F.col("relation")).otherwise(fail("a change of a relation that was not described")))
     rows = rows.withColumn("columns", F.col("relation.columns"))
     after, before = _named("after", "columns"), _named("before", "columns")
