@@ -58,7 +58,7 @@ class Applier:
                     raise ValueError(f"changes of {table}, which is not in the store")
                 own = todo.filter(F.concat_ws(".", "schema", "table") == table)
                 if r is not None:
-                    own = keep_range(own, *(shard_keys or {})[table], r)
+                    own = kept(keep_range(own, *(shard_keys or {})[table], r), "range")  # read many times, too
                 moves.append(self._rewrite(table, own, base))
 
         def change(m: dict) -> None:
