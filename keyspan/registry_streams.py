@@ -17,7 +17,7 @@ from keyspan.sources.scratch import scratch
 from keyspan.sources.store import Store
 from keyspan.streaming import vstream
 from keyspan.streaming.apply import Applier
-from keyspan.streaming.changes import net_changes, row_changes, steps, transactions
+from keyspan.streaming.changes import ROW_OPS, net_changes, row_changes, steps, transactions
 
 # --- frames, built as columns -----------------------------------------------------------------------------------------
 
@@ -70,7 +70,7 @@ _STEPS = "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
 )
 def cdc_decode_changes(spark, sf_dir):
     """Frames to committed row changes: begin, relation, insert, update with an unchanged cell, delete by key, commit."""
-    found = row_changes(transactions(pgoutput.decode_frames(frames_of(table(spark, sf_dir, "events")))))
+    found = row_changes(transactions(pgoutput.decode_frames(frames_of(table(spark, sf_dir, "events"))), ROW_OPS))
     cell = lambda i, of: F.get("cells", F.lit(i))[of]
     return found.select("shard", "seq", "commit_lsn", "end_lsn", "op", F.col("key")[0].cast("long").alias("key"), F.col("old_key")[0].cast("long").alias("old_key"), cell(1, "value").cast("long").alias("event_id"), cell(2, "value").alias("event_type"), cell(2, "kind").alias("kind"))
 
@@ -84,7 +84,7 @@ def cdc_decode_begins(spark, sf_dir):
 @registered(_NET)
 def cdc_from_frames(spark, sf_dir):
     """Frames decoded, put together by transaction, and folded to each key's last state."""
-    found = row_changes(transactions(pgoutput.decode_frames(frames_of(table(spark, sf_dir, "events")))))
+    found = row_changes(transactions(pgoutput.decode_frames(frames_of(table(spark, sf_dir, "events"))), ROW_OPS))
     net = net_changes(steps(found), spark.createDataFrame([], "key array<string>"))
     value = lambda i: F.col("cells")[i]["value"]
     return net.filter("op = 'upsert'").select(value(0).cast("long").alias("user_id"), value(1).cast("long").alias("event_id"), value(2).alias("event_type"))

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from keyspan.operators.running import running_sum
 from keyspan.sources import pgoutput_batch
+from keyspan.sources.scratch import kept
 
 
 class DecodeError(ValueError):
@@ -203,8 +204,8 @@ _READERS = {
 
 
 def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, parallel: bool = False) -> pa.RecordBatch:
-    """A batch (shard, seq, frame, txn, in_stream) decoded: rows, begins and commits together, other frames one by one."""
-    shard, seq, frame, txn, in_stream = (batch.column(i) for i in range(5))
+    """A batch (shard, seq, frame, txn, in_stream, ...) decoded: rows, begins and commits together, other frames one by one."""
+    frame, in_stream = batch.column("frame"), batch.column("in_stream")
     inside = in_stream.to_numpy(zero_copy_only=False).astype(bool)
     read, columns = pgoutput_batch.decode(frame, inside, schema)
     rest = np.flatnonzero(~read)
@@ -213,7 +214,7 @@ def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, parallel: bool = Fals
         decoder.in_stream = bool(inside[i])
         others.append(decoder.decode(data))
     n = len(batch) - len(rest)
-    own = {"shard": shard, "seq": seq, "txn": txn}
+    own = {name: column for name, column in zip(batch.schema.names, batch.columns, strict=True) if name not in ("frame", "in_stream")}
     place = np.empty(len(batch), np.int64)  # where each frame's row is once those read together are followed by the others
     place[read], place[rest] = np.arange(n), np.arange(n, len(batch))
     out = []
@@ -231,16 +232,28 @@ def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, parallel: bool = Fals
 def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
     """Decoded rows of frames (shard, seq, frame); seq is their order within a shard. A bad frame is an error.
 
-    The tag bytes alone are put in order, to tell the transaction of each frame (`txn`, the number of begins so far) and
-    whether it is in a stream bracket; the frames themselves are decoded in Arrow batches.
+    Frames are dealt by their order into parts and kept with what a part's own frames tell (`pgoutput_batch.mark`): the
+    transaction of each (`txn`, the number of begins so far), the positions of its commit (`txn_lsn`, `txn_end`, null without
+    one), and whether it is in a stream bracket. What the parts before add is a row for each part and shard; the few commits
+    that stand in another part than their transaction's frames are looked up. The frames are decoded in Arrow batches.
     """
-    tag = F.substring("frame", 1, 1)
-    is_tag = lambda t: tag == F.lit(t.encode())
-    marks = F.when(is_tag("B"), F.lit(1 << 32)).when(is_tag("S"), 1).when(is_tag("E"), -1).otherwise(0)
+    spark = frames.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = frames.select(F.col("shard").cast("string").alias("shard"), F.col("seq").cast("long").alias("seq"), "frame")
+    rows = rows.repartitionByRange(parts, "shard", "seq").sortWithinPartitions("shard", "seq").withColumn("part", F.spark_partition_id())
+    kind = _parse_datatype_string("shard string, seq long, frame binary, part int, mark long, upto long, txn_lsn long, txn_end long, closes boolean")
+    marked_arrow = to_arrow_schema(kind)
+    marked = kept(rows.mapInArrow(lambda batches: pgoutput_batch.mark(batches, marked_arrow), kind), "marked")
+    total = marked.groupBy("part", "shard").agg(F.sum("mark").alias("total"))
+    before = total.select(F.col("part").alias("__part"), F.col("shard").alias("__shard"), F.sum("total").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    marked = marked.join(F.broadcast(before), (F.col("part") == F.col("__part")) & F.col("shard").eqNullSafe(F.col("__shard")), "left").drop("__part", "__shard")
+    marks = F.coalesce("before", F.lit(0)) + F.col("upto")
     # a stream's end is still in it, but carries no transaction id
-    marked = running_sum(frames.select("shard", "seq", "frame"), ["shard"], ["seq"], marks.cast("long"), "marks")
-    rows = marked.select("shard", "seq", "frame", F.shiftright("marks", 32).alias("txn"), (F.col("marks").bitwiseAND(F.lit((1 << 32) - 1)) > 0).alias("in_stream"))
-    schema = _parse_datatype_string(SCHEMA)
+    marked = marked.withColumns({"txn": F.shiftright(marks, 32), "in_stream": marks.bitwiseAND(F.lit((1 << 32) - 1)) > 0})
+    ends = marked.filter("closes").groupBy(F.col("shard").alias("__shard"), F.col("txn").alias("__txn")).agg(F.max("txn_lsn").alias("__lsn"), F.max("txn_end").alias("__end"))
+    rows = marked.join(F.broadcast(ends), (F.col("txn") == F.col("__txn")) & F.col("shard").eqNullSafe(F.col("__shard")), "left")
+    rows = rows.select("shard", "seq", "frame", "txn", "in_stream", F.coalesce("txn_lsn", "__lsn").alias("txn_lsn"), F.coalesce("txn_end", "__end").alias("txn_end"))
+    schema = _parse_datatype_string(f"{SCHEMA}, txn_lsn long, txn_end long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

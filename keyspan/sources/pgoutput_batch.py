@@ -6,6 +6,8 @@ says, is left to the decoder of single frames.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,6 +18,10 @@ for _i, _c in enumerate(b"nutb"):
     _CODES[_c] = _i
 
 
+#: Rows of a transaction that wait for its commit, in memory; those of a longer one look it up later.
+WAIT = 20_000
+
+
 class _Bytes:
     def __init__(self, frames: pa.Array):
         frames = frames.cast(pa.large_binary())
@@ -139,3 +145,59 @@ def decode(frames: pa.Array, in_stream: np.ndarray, schema: pa.Schema) -> tuple[
         "after": now.array(raw, has_new, schema.field("after").type).take(pa.array(picked)),
     }
     return read, columns
+
+
+def mark(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Frames (shard, seq, frame, part) of one part of a log, in order, with what is known of their transactions there.
+
+    mark: 1 << 32 for a begin, 1 and -1 for a stream's start and end; upto: its sum over the part's frames of the shard so
+    far; txn_lsn and txn_end: of the commit of the frame's transaction, null if it is not among the frames at hand; closes:
+    whether this is a commit that frames elsewhere may have to look up.
+    """
+    held, last, sums, partial = None, None, (0, 0), False  # sums of marks and begins before the held frames, which are of shard `last` unless told otherwise
+
+    def told(rows: pa.Table, final: bool):
+        nonlocal held, last, sums, partial
+        rows = rows.combine_chunks().to_batches()[0]
+        raw, n = _Bytes(rows.column(2)), len(rows)
+        tag = np.where(raw.start < raw.end, raw.data[raw.start], 0)
+        begins = tag == ord("B")
+        marks = (begins.astype(np.int64) << 32) + (tag == ord("S")) - (tag == ord("E"))
+        of = rows.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        turns = np.empty(n, bool)  # where another shard begins
+        turns[0], turns[1:] = last != (rows.column(0)[0].as_py(),), of[1:] != of[:-1]
+
+        def along(values: np.ndarray, before: int) -> np.ndarray:
+            upto = np.cumsum(values)
+            first = np.maximum.accumulate(np.where(turns, np.arange(n), -1))
+            return upto - np.where(first >= 0, upto[first] - values[first], -before)
+
+        upto, begun = along(marks, sums[0]), along(begins.astype(np.int64), sums[1])
+        group = np.cumsum(begins | turns)
+        group -= group[0]
+        at = np.flatnonzero(tag == ord("C"))
+        ends = np.full(group[-1] + 1, -1)
+        ends[group[at]] = at
+        end = ends[group]
+        known = end >= 0
+        where = raw.start[np.maximum(end, 0)]
+        upto_here = partial and not (begins[0] or turns[0])  # frames of the first transaction went on before
+        cut = n if final else int(np.searchsorted(group, group[-1]))
+        split = cut == 0 and n > WAIT
+        if split:
+            cut = n
+        closes = (tag == ord("C")) & ((begun == 0) | (upto_here & (group == 0)) | ((split or final) & (group == group[-1])))
+        columns = [marks, upto, *(pa.array(raw.number(where + off, ">i8").astype(np.int64), mask=~known) for off in (2, 10)), closes]
+        out = pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c) for c in columns)], schema=schema).slice(0, cut)
+        held = rows.slice(cut) if cut < n else None
+        if cut:
+            last, sums, partial = (rows.column(0)[cut - 1].as_py(),), (int(upto[cut - 1]), int(begun[cut - 1])), split
+        return out
+
+    for batch in batches:
+        if len(batch):
+            out = told(pa.Table.from_batches([batch] if held is None else [held, batch]), False)
+            if len(out):
+                yield out
+    if held is not None:
+        yield told(pa.Table.from_batches([held]), True)

@@ -18,7 +18,7 @@ from keyspan.sources.copytext import typed
 from keyspan.sources.pgoutput import decode_frames
 from keyspan.sources.scratch import kept
 from keyspan.sources.store import GLOBAL_SHARD, Conflict, Store
-from keyspan.streaming.changes import keep_range, late, net_changes, row_changes, steps, transactions
+from keyspan.streaming.changes import ROW_OPS, keep_range, late, net_changes, row_changes, steps, transactions
 
 
 class Applier:
@@ -35,7 +35,8 @@ class Applier:
         return self.store.manifest()["checkpoints"].get(self.consumer, {"lsn": -1, "end_lsn": -1})
 
     def apply_frames(self, frames: DataFrame, r: KeyRange | None = None, shard_keys: dict[str, tuple[str, str]] | None = None) -> dict:
-        return self.apply(row_changes(transactions(decode_frames(frames))), r, shard_keys)
+        """Frames of transactions that were applied before are decoded, and no more."""
+        return self.apply(row_changes(transactions(decode_frames(frames), ROW_OPS, self.progress()["lsn"])), r, shard_keys)
 
     def apply(self, changes: DataFrame, r: KeyRange | None = None, shard_keys: dict[str, tuple[str, str]] | None = None) -> dict:
         """Applies the changes after the checkpoint, all or none; returns the progress.

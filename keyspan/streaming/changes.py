@@ -28,21 +28,31 @@ def fail(message: str | Column) -> Column:
     return F.raise_error(F.lit(message) if isinstance(message, str) else message)
 
 
-def transactions(frames: DataFrame) -> DataFrame:
+def transactions(frames: DataFrame, ops: Sequence[str] | None = None, after: int | None = None) -> DataFrame:
     """Frames of committed transactions, each with its transaction's commit_lsn and end_lsn; what can't be applied is an error.
 
     Frames of one shard are in order of seq; a transaction's changes stand between its begin and its commit, and share the
-    number of begins before them (`txn`, worked out here where frames don't have it). A last transaction without a commit
-    is left out.
+    number of begins before them. decode_frames tells it (`txn`) and the commit's positions (`txn_lsn`, `txn_end`); they are
+    worked out here where frames don't have them. A last transaction without a commit is left out. Of others than relations,
+    only those of `ops` and of transactions after a position are given, if these are named.
     """
+    told = "txn_lsn" in frames.columns
     if "txn" not in frames.columns:
         frames = running_sum(frames, ["shard"], ["seq"], (F.col("op") == "begin").cast("long"), "txn")
-    frames = kept(frames, "frames")  # read for the commits and for all else; what decoded it does so once
+    if not told:
+        frames = kept(frames, "frames")  # read for the commits and for all else
     rows = frames.withColumn("op", F.when(F.col("op").isin(*REFUSED), fail(F.concat(F.lit("can't apply "), F.col("op")))).otherwise(F.col("op")))
-    ends = rows.filter("op = 'commit'").select("shard", "txn", F.col("commit_lsn").alias("txn_lsn"), F.col("end_lsn").alias("txn_end"))
+    if not told:
+        ends = rows.filter("op = 'commit'").select("shard", "txn", F.col("commit_lsn").alias("txn_lsn"), F.col("end_lsn").alias("txn_end"))
+        rows = rows.join(ends, ["shard", "txn"], "left")
     # relations may be described between transactions
-    rows = rows.drop("commit_lsn", "end_lsn").join(ends, ["shard", "txn"], "left").filter("txn_lsn is not null or op = 'relation'")
-    return rows.withColumnsRenamed({"txn_lsn": "commit_lsn", "txn_end": "end_lsn"})
+    rows = rows.filter("txn_lsn is not null or op = 'relation'")
+    if ops is not None:
+        rows = rows.filter(F.col("op").isin("relation", *ops))
+    if after is not None:
+        rows = rows.filter((F.col("op") == "relation") | (F.col("txn_lsn") > after))
+    rows = rows.drop("commit_lsn", "end_lsn").withColumnsRenamed({"txn_lsn": "commit_lsn", "txn_end": "end_lsn"})
+    return kept(rows, "frames") if told else rows  # what decoded them does so once
 
 
 def _named(cells: str, columns: str) -> Column:
@@ -125,24 +135,28 @@ def net_changes(stepped: DataFrame, existing: DataFrame, order: Sequence[str] =
     before; a target that has drifted from its source is an error, not repaired. Cells that an update left unchanged keep
     the value of the last step that gave one; where that is before the batch they stay `unchanged`.
     """
-    by = W.partitionBy("key").orderBy(*order)
+    of_key = W.partitionBy("key")
+    by = of_key.orderBy(*order)
     held = existing.select("key").distinct().withColumn("held", F.lit(True))
     rows = stepped.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(False)))
     there = F.when(F.lag("op").over(by).isNull(), F.col("held")).otherwise(F.lag("op").over(by) != "delete")
     sound = F.when(there == (F.col("before") == "present"), True).otherwise(fail(F.concat(F.col("op"), F.lit(" of a key that is "), F.when(there, "there").otherwise("not there"), F.lit(": "), F.array_join("key", ","))))
-    rows = rows.withColumn("sound", sound)
-    # a delete starts the row anew, so only cells after the last delete carry over
-    epoch = F.sum((F.col("op") == "delete").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("epoch", epoch).withColumn("last_epoch", F.max("epoch").over(W.partitionBy("key")))
-    ends = rows.groupBy("key").agg(F.max_by("op", F.struct(*order)).alias("op"), F.bool_and("sound").alias("sound"), F.first("held").alias("held"), F.max("epoch").alias("deletes"))
-    cells = rows.filter("epoch = last_epoch and op <> 'delete'").select("key", *order, F.posexplode("cells").alias("i", "cell"))
-    known = F.struct((F.col("cell.kind") != "unchanged").alias("given"), *order)
-    best = cells.groupBy("key", "i").agg(F.max_by("cell", known).alias("cell"))
-    folded = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "cell"))).alias("cells")).select("key", F.transform("cells", lambda x: x["cell"]).alias("cells"))
-    out = ends.filter("sound").join(folded, "key", "left")
+    # a delete starts the row anew, so only cells after the last delete carry over; so does a step that gives all cells
+    gone = F.col("op") == "delete"
+    whole = ~gone & (F.size("cells") >= F.col("widest")) & F.forall("cells", lambda c: c["kind"] != "unchanged")
+    rows = rows.withColumns({"sound": sound, "widest": F.max(F.when(~gone, F.size("cells"))).over(of_key)})
+    rows = rows.withColumn("epoch", F.sum((gone | F.coalesce(whole, F.lit(False))).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumns({"last_epoch": F.max("epoch").over(of_key), "all_sound": F.bool_and("sound").over(of_key)})
+    # the steps are read once: from here on there are the last few of each key
+    ends = rows.filter("all_sound and epoch = last_epoch")
+    given = F.when(~gone, F.col("cells"))
+    cells = ends.select("key", "held", F.struct(*order, "op").alias("step"), F.posexplode_outer(given).alias("i", "cell"))
+    known = F.struct((F.col("cell.kind") != "unchanged").alias("given"), "step")
+    best = cells.groupBy("key", "i").agg(F.max("step").alias("step"), F.max_by("cell", known).alias("cell"), F.first("held").alias("held"))
+    folded = best.groupBy("key").agg(F.max("step")["op"].alias("op"), F.first("held").alias("held"), F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "cell")))).alias("folded"))
     # inserted and deleted within the batch: nothing to do
-    out = out.filter("held or op <> 'delete'")
-    return out.select("key", F.when(F.col("op") == "delete", "delete").otherwise("upsert").alias("op"), "cells", "held")
+    out = folded.filter("held or op <> 'delete'")
+    return out.select("key", F.when(F.col("op") == "delete", "delete").otherwise("upsert").alias("op"), F.when(F.size("folded") > 0, F.transform("folded", lambda x: x["cell"])).alias("cells"), "held")
 
 
 def late(changes: DataFrame, checkpoint: int) -> DataFrame:
