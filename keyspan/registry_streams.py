@@ -13,7 +13,7 @@ from keyspan.plans.catalog import ShardCatalog, TableDef
 from keyspan.registering import SHARDS, registered, table
 from keyspan.registry import _NET, change_log
 from keyspan.sources import pgoutput
-from keyspan.sources.scratch import scratch
+from keyspan.sources.scratch import kept, scratch
 from keyspan.sources.store import Store
 from keyspan.streaming import vstream
 from keyspan.streaming.apply import Applier
@@ -94,7 +94,7 @@ def cdc_from_frames(spark, sf_dir):
 def cdc_apply_frames(spark, sf_dir):
     """Frames applied to a stored table in two batches, the second with the first's once more, then all again."""
     events = table(spark, sf_dir, "events")
-    frames = frames_of(events)
+    frames = kept(frames_of(events), "sent")  # a log is written once, however often it is sent
     store = Store(spark, scratch(spark, "apply"))
     store.create("public.last_event", T._parse_datatype_string("user_id bigint, event_id bigint, event_type string"), TableDef("user_id", "int"))
     apply = Applier(store, "frames", {"public.last_event": ["user_id"]}, SHARDS)

@@ -229,9 +229,11 @@ def decode_batch(batch: pa.RecordBatch, schema: pa.Schema, parallel: bool = Fals
     return pa.RecordBatch.from_arrays(out, schema=schema)
 
 
-def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
+def decode_frames(frames: DataFrame, parallel: bool = False, after: int | None = None) -> DataFrame:
     """Decoded rows of frames (shard, seq, frame); seq is their order within a shard. A bad frame is an error.
 
+    after: transactions that commit there or before were applied; of these only relations are decoded.
+
     Frames are dealt by their order into parts and kept with what a part's own frames tell (`pgoutput_batch.mark`): the
     transaction of each (`txn`, the number of begins so far), the positions of its commit (`txn_lsn`, `txn_end`, null without
     one), and whether it is in a stream bracket. What the parts before add is a row for each part and shard; the few commits
@@ -253,6 +255,8 @@ def decode_frames(frames: DataFrame, parallel: bool = False) -> DataFrame:
     ends = marked.filter("closes").groupBy(F.col("shard").alias("__shard"), F.col("txn").alias("__txn")).agg(F.max("txn_lsn").alias("__lsn"), F.max("txn_end").alias("__end"))
     rows = marked.join(F.broadcast(ends), (F.col("txn") == F.col("__txn")) & F.col("shard").eqNullSafe(F.col("__shard")), "left")
     rows = rows.select("shard", "seq", "frame", "txn", "in_stream", F.coalesce("txn_lsn", "__lsn").alias("txn_lsn"), F.coalesce("txn_end", "__end").alias("txn_end"))
+    if after is not None:
+        rows = rows.filter(F.col("txn_lsn").isNull() | (F.col("txn_lsn") > after) | (F.substring("frame", 1, 1) == F.lit(b"R")))
     schema = _parse_datatype_string(f"{SCHEMA}, txn_lsn long, txn_end long")
     arrow = to_arrow_schema(schema)
 

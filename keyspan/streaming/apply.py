@@ -35,8 +35,9 @@ class Applier:
         return self.store.manifest()["checkpoints"].get(self.consumer, {"lsn": -1, "end_lsn": -1})
 
     def apply_frames(self, frames: DataFrame, r: KeyRange | None = None, shard_keys: dict[str, tuple[str, str]] | None = None) -> dict:
-        """Frames of transactions that were applied before are decoded, and no more."""
-        return self.apply(row_changes(transactions(decode_frames(frames), ROW_OPS, self.progress()["lsn"])), r, shard_keys)
+        """Transactions that were applied before are dropped by their commit positions, before they are decoded again."""
+        done = self.progress()["lsn"]
+        return self.apply(row_changes(transactions(decode_frames(frames, after=done), ROW_OPS, done)), r, shard_keys)
 
     def apply(self, changes: DataFrame, r: KeyRange | None = None, shard_keys: dict[str, tuple[str, str]] | None = None) -> dict:
         """Applies the changes after the checkpoint, all or none; returns the progress.
